@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,7 +20,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 4 <
     A single longer row makes a piece of its own; rows keep their order; empty batches vanish.
     """
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin, held = 0, 0
         for i, size in enumerate(sizes):
             if i > begin and held + size > most_bytes:
