@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_trie import op7_bpe_trie
 from .packing import op10_pack_nnls
 from .tiff import op5_tiff
+from .toxicity import op1_crf_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_tiff, op7_bpe_trie, op10_pack_nnls)
+    f.__name__: f for f in (op1_crf_toxicity, op5_tiff, op7_bpe_trie, op10_pack_nnls)
 }
 
 ORACLES: dict[str, str] = {}
