@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_trie import op7_bpe_trie
 from .minhash import op6_circulant_minhash
 from .packing import op10_pack_nnls
+from .secrets import op8_char_cnn_secrets
 from .tiff import op5_tiff
 from .toxicity import op1_crf_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_toxicity, op5_tiff, op6_circulant_minhash, op7_bpe_trie, op10_pack_nnls)
+    f.__name__: f for f in (op1_crf_toxicity, op5_tiff, op6_circulant_minhash, op7_bpe_trie, op8_char_cnn_secrets, op10_pack_nnls)
 }
 
 ORACLES: dict[str, str] = {}
