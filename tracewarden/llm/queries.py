@@ -10,12 +10,13 @@ from .bpe_trie import op7_bpe_trie
 from .licences import op2_suffix_automaton_licences
 from .minhash import op6_circulant_minhash
 from .packing import op10_pack_nnls
+from .permutations import op4_permutation_index
 from .secrets import op8_char_cnn_secrets
 from .tiff import op5_tiff
 from .toxicity import op1_crf_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_toxicity, op2_suffix_automaton_licences, op5_tiff, op6_circulant_minhash, op7_bpe_trie, op8_char_cnn_secrets, op10_pack_nnls)
+    f.__name__: f for f in (op1_crf_toxicity, op2_suffix_automaton_licences, op4_permutation_index, op5_tiff, op6_circulant_minhash, op7_bpe_trie, op8_char_cnn_secrets, op10_pack_nnls)
 }
 
 ORACLES: dict[str, str] = {}
