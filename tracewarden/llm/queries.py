@@ -8,15 +8,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import op7_bpe_trie
 from .licences import op2_suffix_automaton_licences
+from .maglev import op9_permutation_sharding
 from .minhash import op6_circulant_minhash
 from .packing import op10_pack_nnls
 from .permutations import op4_permutation_index
 from .secrets import op8_char_cnn_secrets
 from .tiff import op5_tiff
 from .toxicity import op1_crf_toxicity
+from .warc import op3_merkle_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_toxicity, op2_suffix_automaton_licences, op4_permutation_index, op5_tiff, op6_circulant_minhash, op7_bpe_trie, op8_char_cnn_secrets, op10_pack_nnls)
+    f.__name__: f
+    for f in (
+        op1_crf_toxicity,
+        op2_suffix_automaton_licences,
+        op3_merkle_warc,
+        op4_permutation_index,
+        op5_tiff,
+        op6_circulant_minhash,
+        op7_bpe_trie,
+        op8_char_cnn_secrets,
+        op9_permutation_sharding,
+        op10_pack_nnls,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+#: Ids of pages are far from filling a part of a file here, so that every file is one part.
+_OP3 = """
+WITH replicas AS (
+  SELECT DISTINCT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), hashed AS (
+  SELECT page_id, url, html,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+    || chr(13) || chr(10) || chr(13) || chr(10) AS r
+  FROM replicas
+), primary_ AS (
+  SELECT page_id, CAST(floor(page_id / 1024) AS BIGINT) AS file, strlen(r) AS length, sha256(r) AS primary_sha256, r, html FROM hashed
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS idx, CAST(sum(length) OVER w AS BIGINT) - length AS "offset"
+  FROM primary_ WINDOW w AS (PARTITION BY file ORDER BY page_id, primary_sha256)
+)
+SELECT file, CAST(0 AS BIGINT) AS part, idx, page_id, "offset", length, 'changed' AS status, primary_sha256,
+  sha256(substr(r, 1, length(r) - length(html) - 4) || '#' || substr(html, 2) || chr(13) || chr(10) || chr(13) || chr(10)) AS replica_sha256
+FROM placed WHERE page_id % 97 = 13 AND strlen(html) > 0
+"""
+
+ORACLES: dict[str, str] = {"op3_merkle_warc": _OP3}

@@ -306,3 +306,20 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(documents, table(spark, sf_dir, "labels"))
     out = score_toxicity(documents, model)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def keep_clean(df: DataFrame, model: Field, text: str = "text") -> DataFrame:
+    """Rows of ``df`` that score under 0.5, with all their columns; one pass without a join.
+
+    A null text scores as the empty one.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in chunks(batches, place):
+            score, _ = scorer.score(texts(batch.column(place)), False)
+            yield batch.filter(pa.array(score < 0.5))
+
+    return df.mapInArrow(run, df.schema)
