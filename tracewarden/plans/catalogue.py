@@ -492,7 +492,7 @@ def nonce_valid(spark, sf_dir):
     return inputs.read(spark, sf_dir, "documents").select("doc_id", t.is_nonce(value).alias("valid"))
 
 
-@query("SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(replace(text, chr(10), ' '), '[, \\t]+'), x -> x <> '')) AS entry FROM conversations")
+@query("SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(replace(text, chr(10), ' '), '[, \\t]+'), lambda x: x <> '')) AS entry FROM conversations")
 def env_list(spark, sf_dir):
     entries = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), "[, \\t]+"), lambda x: x != "")
     return inputs.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(entries).alias("entry"))
