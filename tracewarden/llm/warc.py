@@ -42,48 +42,43 @@ def records(pages: DataFrame) -> DataFrame:
     return one.select("file", "part", (F.row_number().over(inside) - 1).cast("long").alias("idx"), "page_id", (end - F.col("length")).alias("offset"), "length", "copies", "sha256")
 
 
-KEYS = ["file", "part", "idx"]
-Parent = tuple[Column, Column, Column]
-
-
-def _climb(span: int) -> list[Parent]:
-    """How a node's (file, part, idx) gives its parent's, level by level: within a part, to the part's root,
-    from parts to their file, and over ``span`` files to one root."""
-    file, part, idx, zero = F.col("file"), F.col("part"), F.col("idx"), F.lit(0).cast("long")
-    out: list[Parent] = []
-    size = PART_RECORDS
-    while size > FANOUT:
-        out.append((file, part, F.floor(idx / FANOUT)))
-        size //= FANOUT
-    out += [(file, part, zero), (file, zero, zero)]
-    while span > 1:
-        out.append((F.floor(file / FANOUT), zero, zero))
-        span = -(-span // FANOUT)
-    return out
+def _joined(hashes: Column) -> Column:
+    return F.sha2(F.array_join(hashes, ";"), 256)
 
 
-def tree(leaves: DataFrame, low: int, climb: list[Parent]) -> list[DataFrame]:
-    """Levels from the records to the root: file (counted from ``low``, 0 without an id), part, idx, hash, first and end.
+def _above(hashes: Column) -> Column:
+    """Hashes of each sixteen neighbours of an array that isn't empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / FANOUT).cast("int")), lambda i: _joined(F.slice(hashes, i * FANOUT + 1, FANOUT)))
 
-    No leaves give empty levels.
-    """
-    place = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.col("copies").cast("string"), "sha256")
-    level = leaves.select(F.coalesce(F.col("file") - low + 1, F.lit(0)).alias("file"), "part", "idx", F.sha2(place, 256).alias("hash"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"))
+
+def parts(records_: DataFrame, low: int) -> DataFrame:
+    """The tree of each part in one row: file (counted from ``low``, 0 without an id), part, leaves, their hashes l0, l1
+    and l2 above them, and the root. A part has about ``PART_RECORDS`` leaves, so a row is bounded, and records that
+    are already together by part are not shuffled again."""
+    leaf = F.struct("idx", "page_id", "offset", "length", "copies", "sha256")
+    rows = records_.groupBy("file", "part").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    place = lambda x: F.sha2(F.concat_ws(":", *(x[c].cast("string") for c in ("offset", "length", "copies", "sha256"))), 256)
+    rows = rows.withColumn("file", F.coalesce(F.col("file") - low + 1, F.lit(0))).withColumn("l0", F.transform("leaves", place))
+    return rows.withColumn("l1", _above(F.col("l0"))).withColumn("l2", _above(F.col("l1"))).withColumn("root", _joined(F.col("l2")))
+
+
+def tops(parts_: DataFrame, span: int) -> list[DataFrame]:
+    """Levels (node, hash) over the files, from the files to one root; ``span`` is how many file numbers there are."""
+    spelt = lambda k, h: F.concat_ws(":", F.col(k).cast("string"), F.col(h))
+    gathered = lambda c: _joined(F.array_sort(F.collect_list(c))).alias("hash")
+    level = parts_.groupBy(F.col("file").alias("node")).agg(gathered(spelt("part", "root"))).checkpoint()
     levels = [level]
-    for parent in climb:
-        child = F.struct(*KEYS, "hash")
-        named = [c.alias(f"up_{k}") for k, c in zip(KEYS, parent, strict=True)]
-        groups = level.select("*", *named).groupBy(*(f"up_{k}" for k in KEYS)).agg(F.array_sort(F.collect_list(child)).alias("c"), F.min("first").alias("first"), F.max("end").alias("end"))
-        spelt = F.transform("c", lambda x: F.concat_ws(":", x["file"].cast("string"), x["part"].cast("string"), x["idx"].cast("string"), x["hash"]))
-        level = groups.select(*(F.col(f"up_{k}").alias(k) for k in KEYS), F.sha2(F.array_join(spelt, ";"), 256).alias("hash"), "first", "end").checkpoint()
+    while span > 1:
+        level = level.groupBy(F.floor(F.col("node") / FANOUT).alias("up")).agg(gathered(spelt("node", "hash"))).withColumnRenamed("up", "node").checkpoint()
         levels.append(level)
+        span = -(-span // FANOUT)
     return levels
 
 
 def _differing(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Keys of nodes whose hashes differ, or that only one side has."""
-    x, y = x.select(*KEYS, F.col("hash").alias("x")), y.select(*KEYS, F.col("hash").alias("y"))
-    return x.join(y, KEYS, "full").where(~F.col("x").eqNullSafe(F.col("y"))).select(*KEYS)
+    """Nodes whose hashes differ, or that only one side has."""
+    both = x.join(y.withColumnRenamed("hash", "other"), "node", "full")
+    return both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("node")
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -95,27 +90,35 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     other than page_id, url and html are left out.
     """
     shared_folder(primary.sparkSession)
-    a, b = (records(x).checkpoint() for x in (primary, replica))
-    files = a.select("file").unionByName(b.select("file")).agg(F.min("file"), F.max("file")).first()
-    low, high = (0, 0) if files[0] is None else files
-    climb = _climb(high - low + 2)
-    one, other = tree(a, low, climb), tree(b, low, climb)
+    known = [records(x) for x in (primary, replica)]
+    files = [F.floor(F.col("page_id").cast("long") / FILE_IDS).alias("file")]
+    ends = primary.select(files).unionByName(replica.select(files)).agg(F.min("file"), F.max("file")).first()
+    low, high = (0, 0) if ends[0] is None else ends
+    a, b = (parts(r, low).checkpoint() for r in known)
+    one, other = tops(a, high - low + 2), tops(b, high - low + 2)
     found = _differing(one[-1], other[-1])
-    for k in range(len(climb) - 1, -1, -1):
-        named = [c.alias(f"up_{n}") for n, c in zip(KEYS, climb[k], strict=True)]
-        above = found.select(*(F.col(n).alias(f"up_{n}") for n in KEYS))
-        below = [t[k].select("*", *named).join(above, [f"up_{n}" for n in KEYS], "left_semi") for t in (one, other)]
-        found = _differing(*below).checkpoint()
+    for x, y in zip(one[-2::-1], other[-2::-1], strict=True):
+        above = found.select(F.col("node").alias("up"))
+        below = [t.withColumn("up", F.floor(F.col("node") / FANOUT)).join(above, "up", "left_semi").drop("up") for t in (x, y)]
+        found = _differing(*below)
+    found = found.select(F.col("node").alias("file"))
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.withColumn("file", F.coalesce(F.col("file") - low + 1, F.lit(0))).join(found, KEYS, "left_semi")
-        return rows.select(*KEYS, *(F.col(c).alias(f"{name}_{c}") for c in ("page_id", "offset", "length", "sha256")))
-
-    both = side(a, "a").join(side(b, "b"), KEYS, "full")
-    gone, new = F.col("b_sha256").isNull(), F.col("a_sha256").isNull()
-    held = [F.when(new, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in ("page_id", "offset", "length")]
-    status = F.when(gone, "missing").when(new, "extra").otherwise("changed")
-    return both.select(F.when(F.col("file") > 0, F.col("file") + (low - 1)).alias("file"), "part", "idx", *held, status.alias("status"), F.col("a_sha256").alias("primary_sha256"), F.col("b_sha256").alias("replica_sha256"))
+        rows = rows.join(found, "file", "left_semi")
+        return rows.select("file", "part", *(F.col(c).alias(f"{name}_{c}") for c in ("leaves", "l0", "l1", "l2", "root")))
+
+    both = side(a, "a").join(side(b, "b"), ["file", "part"], "full").where(~F.col("a_root").eqNullSafe(F.col("b_root")))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    differs = lambda level: lambda i: ~F.get(f"a_{level}", i).eqNullSafe(F.get(f"b_{level}", i))
+    children = lambda c: F.flatten(F.transform(c, lambda i: F.sequence(i * FANOUT, i * FANOUT + (FANOUT - 1))))
+    both = both.withColumn("d", F.filter(F.sequence(F.lit(0), F.greatest(count("a_l2"), count("b_l2"), F.lit(1)) - 1), differs("l2")))
+    for level in ("l1", "l0"):
+        both = both.withColumn("d", F.filter(children("d"), differs(level)))
+    rows = both.select("file", "part", F.explode("d").alias("i"), "a_leaves", "b_leaves")
+    rows = rows.select("file", "part", F.col("i").cast("long").alias("idx"), F.get("a_leaves", "i").alias("a"), F.get("b_leaves", "i").alias("b"))
+    held = F.coalesce("a", "b")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
+    return rows.select(F.when(F.col("file") > 0, F.col("file") + (low - 1)).alias("file"), "part", "idx", *(held[c].alias(c) for c in ("page_id", "offset", "length")), status.alias("status"), F.col("a.sha256").alias("primary_sha256"), F.col("b.sha256").alias("replica_sha256"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
