@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table, texts
 
 #: Bound of the sample that the classifier is fitted on: rows of each class, and characters of a text in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 BUCKETS = 1 << 18
 #: A sentence without a full stop is cut into chains of so many tokens.
 CHAIN = 128
@@ -118,10 +118,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def _laid(tokens: list[list[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    flat = np.fromiter((ids[u] for t in tokens for u in t), np.int64, int(sizes.sum()))
-    return flat, np.cumsum(sizes) - sizes, sizes
+def _laid(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents end to end: units, where each begins, and how long it is."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    return np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum(sizes) - sizes, sizes
 
 
 def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 120) -> Field:
@@ -135,28 +135,34 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 120) -> Field:
     rows = sorted(set(rows))
     if len({y for _, y in rows}) < 2:
         return m
-    tokens = [t.lower().split() for t, _ in rows]
     labels = np.array([y for _, y in rows])
     fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 3 for t, _ in rows])
-    units = sorted({u for t in tokens for u in t})
-    ids = {u: i for i, u in enumerate(units)}
-    lists = [features(u) for u in units]
-    wide = max(map(len, lists), default=1)
-    table_ = np.array([x + [BUCKETS] * (wide - len(x)) for x in lists], np.int64).reshape(len(units), wide)
+    numbers: dict[str, int] = {}
+    number = lambda u: numbers.setdefault(u, len(numbers))
+    ids = [np.fromiter(map(number, t.lower().split()), np.int32) for t, _ in rows]
+    del rows
+    units = list(numbers)
+    del numbers
+    wide = 12
+    table_ = np.full((len(units), wide), BUCKETS, np.int32)
+    for i, u in enumerate(units):
+        found = features(u)
+        table_[i, : len(found)] = found
     ends = np.array([u.endswith(END) for u in units], bool)
+    del units
     # Tokens of toxic documents are toxic if a feature of theirs is almost theirs alone.
     seen = np.zeros((2, BUCKETS + 1))
     trained = np.flatnonzero(fold != 0)
     for i in trained:
-        if tokens[i]:
-            seen[labels[i], np.unique(table_[np.unique([ids[u] for u in tokens[i]])])] += 1
+        if len(ids[i]):
+            seen[labels[i], np.unique(table_[np.unique(ids[i])])] += 1
     n = np.array([max(1, (labels[trained] == y).sum()) for y in (0, 1)])
     share = seen / n[:, None]
     marked = (seen[1] >= max(4, 0.01 * n[1])) & (share[1] >= 19 * (share[0] + 0.2 / n[0]))
     marked[BUCKETS] = False
     toxic_unit = marked[table_].any(axis=1)
     # The field is trained on chains with toxic tokens and as many of clean documents.
-    flat, starts, sizes = _laid([tokens[i] for i in trained], ids)
+    flat, starts, sizes = _laid([ids[i] for i in trained])
     if not len(flat) or not toxic_unit.any():
         return m
     owner = np.repeat(labels[trained], sizes)
@@ -201,8 +207,8 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 120) -> Field:
     # The calibrator sees documents that the field did not.
     held = np.flatnonzero(fold == 0)
     if len(set(labels[held].tolist())) < 2:
-        held = np.arange(len(rows))
-    flat, starts, sizes = _laid([tokens[i] for i in held], ids)
+        held = np.arange(len(ids))
+    flat, starts, sizes = _laid([ids[i] for i in held])
     logit = _marginals(theta[table_].sum(axis=1)[flat], ends[flat], starts, sizes, m)
     y = labels[held]
     weight = np.where(y == 1, max(rate, 1e-4) / y.mean(), (1 - rate) / (1 - y.mean()))
