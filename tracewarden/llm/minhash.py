@@ -94,7 +94,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 #: A pair whose signatures agree less than this can't be meant by 0.75: five standard deviations of the estimate.
 LEAST_ESTIMATE = 0.55
 #: Members and shingles of a bucket that one task compares; a larger bucket is cut into tiles, compared two by two.
-TILE_MEMBERS, TILE_SHINGLES = 2048, 4_000_000
+TILE_MEMBERS, TILE_SHINGLES = 512, 1_000_000
 
 
 def sketches(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
