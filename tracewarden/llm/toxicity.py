@@ -26,7 +26,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 BUCKETS = 1 << 18
 #: A sentence without a full stop is cut into chains of so many tokens.
 CHAIN = 128
-MOST_UNITS = 400_000
+MOST_UNITS = 200_000
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|/\\~`^_-+=«»¿¡…"
 END = (".", "!", "?", ".\"", "!\"", "?\"")
 
@@ -233,14 +233,15 @@ class Scorer:
         tokens = [t.lower().split() for t in given]
         needed = set().union(*tokens)
         if len(self.ids) > MOST_UNITS:
-            self.ids = {}
+            kept = [u for u in needed if u in self.ids]
+            places = [self.ids[u] for u in kept]
+            self.emission, self.ends = self.emission[places], self.ends[places]
+            self.ids = {u: i for i, u in enumerate(kept)}
         new = [u for u in needed if u not in self.ids]
-        if not self.ids:
-            new = list(needed)
         begin = len(self.ids)
         if begin + len(new) > len(self.emission):
-            size = 2 * (begin + len(new))
-            self.emission, self.ends = np.resize(self.emission, size), np.resize(self.ends, size)
+            size = begin + 2 * len(new)
+            self.emission, self.ends = (np.concatenate([x[:begin], np.zeros(size - begin, x.dtype)]) for x in (self.emission, self.ends))
         if new:
             self.ids.update(zip(new, range(begin, begin + len(new)), strict=True))
             words: dict[str, int] = {}
