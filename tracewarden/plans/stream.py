@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.findings import decide
-from ..operators.ordered import numbered
+from ..operators.ordered import numbered, shared_folder
 from ..operators.sessions import tainted
 
 #: Order of a session's lines: opened, then spans and events as they come, findings, decision, closed.
@@ -17,7 +17,12 @@ CLASSES = {"session_open": 0, "span": 1, "event": 2, "finding": 3, "decision": 4
 
 
 def lines(spans: DataFrame, events: DataFrame, findings: DataFrame, threshold: str = "high") -> DataFrame:
-    """All lines of all sessions with their place (session, class, ord, idx, rule); fields that a type lacks are null."""
+    """All lines of all sessions with their place (session, class, ord, idx, rule); fields that a type lacks are null.
+
+    Findings are counted, decided on and listed, so they are made once and kept.
+    """
+    shared_folder(findings.sparkSession)
+    findings = findings.checkpoint()
     of = lambda df, t: df.withColumn("t", F.lit(t)).withColumn("class", F.lit(CLASSES[t]))
     marked = tainted(events, spans)
     known = spans.select("session").unionByName(events.select("session")).unionByName(findings.select("session")).where("session IS NOT NULL").distinct()
