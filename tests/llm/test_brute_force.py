@@ -188,6 +188,18 @@ def test_the_network_tells_keys_from_harmless_runs():
     assert net.score([secrets.coded(("", "a1" * 5000, ""))]).shape == (1,)
 
 
+def test_keys_with_few_digits_are_found():
+    net, rng = secrets.fit(secrets.generated()), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = []
+    for k in range(300):
+        key = "".join(rng.choice(letters) for _ in range((15, 19, 31)[k % 3])) + "x7"[k % 2]
+        found.append((10, 3, 10 + len(key)) in [x[:3] for x in secrets.scan(f"the value {key} was sent", net)])
+    assert np.mean(found) > 0.9
+    prose = "x " + " ".join("".join(rng.choice(("tion", "ent", "her", "sch", "lich", "ung")) for _ in range(6)) for _ in range(300))
+    assert len(secrets.scan(prose, net)) < 15
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("GNU gnu General public license Apache cc by mit x software, the permission is-hereby".split(" ")), max_size=40))
 def test_licence_phrases_on_any_words(parts):
