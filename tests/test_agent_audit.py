@@ -90,6 +90,12 @@ def test_trees_with_cycles(spark):
     assert {(r["pid"], r["root"]) for r in process.forest(links).collect()} == {(2, 2), (3, 2), (7, 2), (4, 4), (5, 5), (6, 6)}
 
 
+def test_trees_deeper_than_sixty_four(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(1, 71)], "pid long, ppid long").coalesce(1)
+    got = {(r["root"], r["pid"], r["depth"]) for r in process.descendants(links, spark.createDataFrame([(1,)], "root long")).collect()}
+    assert got == {(1, i + 1, i) for i in range(71)}
+
+
 def test_global_order(spark):
     rows = spark.range(1000).selectExpr("id", "(id * 37) % 1000 AS k")
     assert [r["seq"] for r in ordered.numbered(rows, [rows["k"]]).orderBy("k").collect()] == list(range(1, 1001))

@@ -15,21 +15,22 @@ def edges(events: DataFrame) -> DataFrame:
     return execs.groupBy("pid").agg(F.max_by("ppid", "ord").alias("ppid"))
 
 
-def descendants(links: DataFrame, seeds: DataFrame, most_depth: int = 64) -> DataFrame:
+def descendants(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(root, pid, depth) of all processes below each seed (root), itself included at depth 0.
 
     Breadth first: each round joins only the processes found last and drops those known, so cycles and
-    self-parents end. Rounds are as many as the tree is deep.
+    self-parents end. Rounds are as many as the tree is deep, whatever that is.
     """
     shared_folder(links.sparkSession)
     links = links.where("pid <> ppid").select(F.col("pid").alias("child"), "ppid").checkpoint()
     known = edge = seeds.select(F.col("root"), F.col("root").alias("pid"), F.lit(0).alias("depth")).distinct().checkpoint()
-    for depth in range(1, most_depth + 1):
+    most_parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth = 0
+    while not edge.isEmpty():
+        depth += 1
         found = edge.join(links, edge["pid"] == links["ppid"]).select("root", F.col("child").alias("pid"), F.lit(depth).alias("depth")).distinct()
         edge = found.join(known.select("root", "pid"), ["root", "pid"], "left_anti").checkpoint()
-        if edge.isEmpty():
-            break
-        known = known.unionByName(edge).checkpoint()
+        known = known.unionByName(edge).coalesce(most_parts).checkpoint()
     return known
 
 
