@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewarden.llm import bpe_trie, licences, maglev, minhash, packing, permutations, queries, secrets, tiff, toxicity, warc
 
@@ -110,6 +111,17 @@ def test_audit_of_a_lost_record(spark):
     assert warc.audit(pages, pages).collect() == []
 
 
+def test_audit_of_a_file_in_parts(spark):
+    """More than 4096 records under one id, and in one file: a change and a loss in the middle show as themselves alone."""
+    pages = spark.range(4600).selectExpr("IF(id % 3 = 0, 500, id % 1024) AS page_id", "concat('u', id) AS url", "repeat('x', CAST(id % 50 AS INT) + 1) AS html")
+    worse = pages.where("url <> 'u2300'").withColumn("html", F.when(F.col("url") == "u2303", F.lit("much longer now")).otherwise(F.col("html")))
+    got = warc.audit(pages, worse).collect()
+    assert sorted((r["page_id"], r["status"], r["primary_sha256"] is None, r["replica_sha256"] is None) for r in got) == [(252, "missing", False, True), (255, "changed", False, False)]
+    upto = lambda n: pages.where(F.substring("url", 2, 9).cast("int") < n)
+    got = warc.audit(upto(4096), upto(4097)).collect()
+    assert [r["status"] for r in got] == ["extra"]
+
+
 def test_other_columns_stay_where_an_operator_keeps_rows(spark):
     df = spark.createDataFrame([(1, "token = abcdef0123456789", "n", 2)], "doc_id long, text string, slot string, kept long")
     placed = maglev.place(df, ["doc_id"], {"a": 1.0, "b": 2.0}).collect()[0]

@@ -7,6 +7,8 @@ children of nodes that differ are looked at, until the damaged records are found
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +26,34 @@ def record(url: Column, html: Column) -> Column:
     return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """file, part, idx, page_id, offset, length, copies and sha256 of each record of a replica.
+def hashed(pages: DataFrame) -> DataFrame:
+    """page_id, key (of the url), length, sha256, copies and file of each distinct record of a replica.
+
+    A file holds the records of ``FILE_IDS`` successive ids. Exact repeats are stored once and counted in
+    ``copies``. Rows without an id go to a file whose number is null. Only hashes and lengths are shuffled.
+    """
+    key = F.xxhash64(F.coalesce("url", F.lit(""))).alias("key")
+    one = pages.select(F.col("page_id").cast("long").alias("page_id"), key, record(F.col("url"), F.col("html")).alias("r"))
+    one = one.select("page_id", "key", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
+    return one.groupBy("page_id", "key", "length", "sha256").agg(F.count("*").alias("copies")).withColumn("file", F.floor(F.col("page_id") / FILE_IDS))
+
+
+def cuts(replicas: list[DataFrame]) -> DataFrame:
+    """file and parts: into how many parts a file is cut, by the replica that holds most records of it."""
+    counted = [r.groupBy("file").agg(F.count("*").alias("n")) for r in replicas]
+    return reduce(DataFrame.unionByName, counted).groupBy("file").agg(F.ceil(F.max("n") / PART_RECORDS).alias("parts"))
+
+
+def records(hashed_: DataFrame, cuts_: DataFrame) -> DataFrame:
+    """file, part, idx, page_id, key, offset, length, copies and sha256 of each record of a replica.
 
-    A file holds the records of ``FILE_IDS`` successive ids in order of (page_id, sha256), with offsets from
-    0. Exact repeats are stored once and counted in ``copies``. A file with very many records under its ids is cut
-    into parts by hash, each with offsets of its own. Rows without an id go to a file whose number is null.
-    Only hashes and lengths are shuffled.
+    Records of a file are in order of (page_id, sha256), with offsets from 0. A file with very many records
+    under its ids is cut into parts by hash, each with offsets of its own.
     """
-    text = record(F.col("url"), F.col("html"))
-    one = pages.select(F.col("page_id").cast("long").alias("page_id"), text.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
-    one = one.groupBy("page_id", "length", "sha256").agg(F.count("*").alias("copies")).withColumn("file", F.floor(F.col("page_id") / FILE_IDS))
-    parts = one.groupBy("file").agg(F.ceil(F.count("*") / PART_RECORDS).alias("parts"))
-    one = one.join(parts, one["file"].eqNullSafe(parts["file"])).drop(parts["file"]).withColumn("part", F.pmod(F.xxhash64("sha256"), F.col("parts")))
+    one = hashed_.join(cuts_, hashed_["file"].eqNullSafe(cuts_["file"])).drop(cuts_["file"]).withColumn("part", F.pmod(F.xxhash64("sha256"), F.col("parts")))
     inside = Window.partitionBy("file", "part").orderBy("page_id", "sha256")
     end = F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return one.select("file", "part", (F.row_number().over(inside) - 1).cast("long").alias("idx"), "page_id", (end - F.col("length")).alias("offset"), "length", "copies", "sha256")
+    return one.select("file", "part", (F.row_number().over(inside) - 1).cast("long").alias("idx"), "page_id", "key", (end - F.col("length")).alias("offset"), "length", "copies", "sha256")
 
 
 def _joined(hashes: Column) -> Column:
@@ -55,9 +69,9 @@ def parts(records_: DataFrame, low: int) -> DataFrame:
     """The tree of each part in one row: file (counted from ``low``, 0 without an id), part, leaves, their hashes l0, l1
     and l2 above them, and the root. A part has about ``PART_RECORDS`` leaves, so a row is bounded, and records that
     are already together by part are not shuffled again."""
-    leaf = F.struct("idx", "page_id", "offset", "length", "copies", "sha256")
+    leaf = F.struct("idx", "page_id", "key", "offset", "length", "copies", "sha256")
     rows = records_.groupBy("file", "part").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
-    place = lambda x: F.sha2(F.concat_ws(":", *(x[c].cast("string") for c in ("offset", "length", "copies", "sha256"))), 256)
+    place = lambda x: F.sha2(F.concat_ws(":", *(x[c].cast("string") for c in ("page_id", "offset", "length", "copies", "sha256"))), 256)
     rows = rows.withColumn("file", F.coalesce(F.col("file") - low + 1, F.lit(0))).withColumn("l0", F.transform("leaves", place))
     return rows.withColumn("l1", _above(F.col("l0"))).withColumn("l2", _above(F.col("l1"))).withColumn("root", _joined(F.col("l2")))
 
@@ -84,15 +98,16 @@ def _differing(x: DataFrame, y: DataFrame) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Records that differ between two sets of pages: file, part, idx, page_id, offset, length, status, and both sha256.
 
-    Records are compared by their place, so one that is lost shows as itself and as all that follow it in its
-    part. ``status`` is ``changed``, ``missing`` (from the replica) or ``extra``; page_id, offset and length
+    The trees are compared by place, to find the leaves that can differ. Those are then matched over the whole file, whatever
+    their parts: records of one page_id that are equal on both sides are intact, also where others moved them; what
+    remains of a page_id and url is paired in order of its hashes, so that only damaged records show. ``status`` is ``changed``, ``missing`` (from the replica) or ``extra``; page_id, offset and length
     are the primary's where it has the record. Equal replicas, and two empty ones, give no rows. Columns
     other than page_id, url and html are left out.
     """
     shared_folder(primary.sparkSession)
-    known = [records(x) for x in (primary, replica)]
-    files = [F.floor(F.col("page_id").cast("long") / FILE_IDS).alias("file")]
-    ends = primary.select(files).unionByName(replica.select(files)).agg(F.min("file"), F.max("file")).first()
+    held = [hashed(x).checkpoint() for x in (primary, replica)]
+    known = [records(x, cuts(held)) for x in held]
+    ends = cuts(held).agg(F.min("file"), F.max("file")).first()
     low, high = (0, 0) if ends[0] is None else ends
     a, b = (parts(r, low).checkpoint() for r in known)
     one, other = tops(a, high - low + 2), tops(b, high - low + 2)
@@ -114,11 +129,18 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     both = both.withColumn("d", F.filter(F.sequence(F.lit(0), F.greatest(count("a_l2"), count("b_l2"), F.lit(1)) - 1), differs("l2")))
     for level in ("l1", "l0"):
         both = both.withColumn("d", F.filter(children("d"), differs(level)))
-    rows = both.select("file", "part", F.explode("d").alias("i"), "a_leaves", "b_leaves")
-    rows = rows.select("file", "part", F.col("i").cast("long").alias("idx"), F.get("a_leaves", "i").alias("a"), F.get("b_leaves", "i").alias("b"))
-    held = F.coalesce("a", "b")
+    leaves = lambda side: F.transform("d", lambda i: F.struct(F.lit(side).alias("side"), F.get(f"{side}_leaves", i).alias("leaf")))
+    rows = both.select("file", "part", F.explode(F.concat(leaves("a"), leaves("b"))).alias("x")).where("x.leaf IS NOT NULL")
+    rows = rows.select("x.side", "x.leaf.page_id", "x.leaf.key", "x.leaf.sha256", F.struct("file", "part", "x.leaf.idx", "x.leaf.page_id", "x.leaf.offset", "x.leaf.length", "x.leaf.copies", "x.leaf.sha256").alias("leaf"))
+    sides = [F.max(F.when(F.col("side") == c, F.col("leaf"))).alias(c) for c in ("a", "b")]
+    odd = rows.groupBy("page_id", "key", "sha256").agg(*sides).where(~F.col("a.copies").eqNullSafe(F.col("b.copies")))
+    alone = F.col("a").isNull() | F.col("b").isNull()
+    turn = F.row_number().over(Window.partitionBy("page_id", "key", F.col("a").isNull(), F.col("b").isNull()).orderBy("sha256"))
+    rows = odd.withColumn("alone", alone).withColumn("turn", turn).groupBy("page_id", "key", "alone", "turn").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
-    return rows.select(F.when(F.col("file") > 0, F.col("file") + (low - 1)).alias("file"), "part", "idx", *(held[c].alias(c) for c in ("page_id", "offset", "length")), status.alias("status"), F.col("a.sha256").alias("primary_sha256"), F.col("b.sha256").alias("replica_sha256"))
+    at = F.coalesce("a", "b")
+    file = F.when(at["file"] > 0, at["file"] + (low - 1)).alias("file")
+    return rows.select(file, *(at[c].alias(c) for c in ("part", "idx", "page_id", "offset", "length")), status.alias("status"), F.col("a.sha256").alias("primary_sha256"), F.col("b.sha256").alias("replica_sha256"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
