@@ -136,7 +136,7 @@ def test_near_duplicates_of_documents(spark):
 
 
 def test_near_duplicates_in_chains_and_one_large_group(spark, monkeypatch):
-    """Copies of one text with edits that drift, so that few are linked directly; small tiles make every path run."""
+    """Copies of one text with edits that drift, so that few are linked directly; small groups make every path run."""
     rng = random.Random(3)
     base = [f"w{k}" for k in range(200)]
     documents = []
@@ -145,12 +145,45 @@ def test_near_duplicates_in_chains_and_one_large_group(spark, monkeypatch):
         for _ in range(rng.randint(1, 7)):
             words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
         documents.append({"doc_id": rng.randrange(10**9), "text": " ".join(words)})
-    monkeypatch.setattr(minhash, "TILE_MEMBERS", 40)
+    for name in ("HELD_TEXTS", "PASSING", "FOLLOWERS"):
+        monkeypatch.setattr(minhash, name, 20)
     df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in documents], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
     assert got == components_by_hand(documents)
 
 
+def test_near_copies_of_one_text_that_are_seldom_linked_with_each_other(spark):
+    """Thousands of copies around the threshold, under a frequent passage, and unrelated texts that share that alone."""
+    rng = random.Random(5)
+    base, passage = [f"w{k}" for k in range(60)], [f"p{k}" for k in range(30)]
+    documents = []
+    for i in range(2500):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        documents.append({"doc_id": i * 7 % 10007, "text": " ".join(words)})
+    documents += [{"doc_id": 20_000 + i, "text": " ".join([*passage, *(f"y{rng.randrange(10**6)}" for _ in range(20 + i % 9))])} for i in range(1500)]
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in documents], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == components_by_hand(documents)
+
+
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " zz"), (3, b + " yy")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_intersections_with_held_sets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 80)]
+    held = minhash.Held()
+    for k, s in enumerate(sets):
+        held.hold(k, s)
+    for s in sets:
+        assert held.intersections(s).tolist() == [len(np.intersect1d(s, x)) for x in sets]
+
+
 def test_signatures_estimate_the_jaccard_index():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.75, 0.9):

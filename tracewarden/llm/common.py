@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -39,3 +40,11 @@ def texts(column: pa.Array) -> list[str]:
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as the empty text."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def released(*held: list | dict) -> None:
+    """Empty what a worker holds and give freed memory back: workers live on for other operators' tasks."""
+    for x in held:
+        x.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the cluster's own, or in tests a local one."""
+    """Make sure that checkpoint() has a folder: the cluster's own, or with a local master (as in tests) a temporary one.
+
+    A cluster that names none is an error, since a folder of one machine would be lost with it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewarden-"))
 
 
@@ -50,3 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = following
     found = kept.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.unionByName(kept.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after components ``found`` are joined by links (a, b) between components; checkpointed."""
+    more = components(links).select(F.col("node").alias("component"), F.col("component").alias("merged")).checkpoint()
+    moved = found.join(more, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    alone = more.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component"))
+    return moved.unionByName(alone).checkpoint()

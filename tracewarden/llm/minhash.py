@@ -4,6 +4,10 @@ Two permutations make all coordinates of a signature: the first scatters a docum
 over a circle, the second is read from there on, one step further for each coordinate. So a
 coordinate is the minimum over a shingle's neighbours on the circle, and all coordinates are the
 minimum of a few contiguous slices.
+
+Buckets are never expanded into pairs. Texts that may be linked are dealt to groups of bounded size in
+which a few are held in one inverted list of shingles and the others stream past it, so that one look-up of a
+text's shingles gives its exact intersections with all that are held.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, utf8
-from .components import components, shared_folder
+from .common import chunks, released, table, utf8
+from .components import components, joined, shared_folder
 
-SHINGLE, BANDS, ROWS = 5, 32, 4
+SHINGLE, BANDS, ROWS = 5, 40, 5
 COORDINATES = BANDS * ROWS
 CIRCLE = 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -83,117 +87,139 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, both not empty."""
-    if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)) or not len(a):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 75 * (len(a) + len(b) - both)
+#: Bounds of a group: texts and shingles held in it, and texts that stream past those.
+HELD_TEXTS, HELD_SHINGLES, PASSING = 256, 1_000_000, 2048
+#: Texts that stream past one leader in a group.
+FOLLOWERS = 256
+
+
+class Held:
+    """Sets of a group with their components, as one inverted list of shingles."""
+
+    def __init__(self) -> None:
+        self.components: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.lists: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.up: dict[int, int] = {}
 
+    def hold(self, component: int, s: np.ndarray) -> None:
+        self.components.append(component)
+        self.sets.append(s)
 
-#: A pair whose signatures agree less than this can't be meant by 0.75: five standard deviations of the estimate.
-LEAST_ESTIMATE = 0.55
-#: Members and shingles of a bucket that one task compares; a larger bucket is cut into tiles, compared two by two.
-TILE_MEMBERS, TILE_SHINGLES = 2048, 4_000_000
+    def _root(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            x = up
+        return x
+
+    def intersections(self, s: np.ndarray) -> np.ndarray:
+        """Size of the intersection of ``s`` with each held set."""
+        if self.lists is None:
+            sizes = np.array([len(x) for x in self.sets], np.int64)
+            every = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+            order = np.argsort(every, kind="stable")
+            self.lists = every[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+            self.sets = []
+        hashes, owner, sizes = self.lists
+        low = np.searchsorted(hashes, s, "left")
+        n = np.searchsorted(hashes, s, "right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(sizes))
+
+    def links(self, component: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """Components that ``s`` links with its own: 100 * intersection >= 75 * union. Those that have met in
+        this group are left out."""
+        both = self.intersections(s)
+        sizes = self.lists[2]
+        out = []
+        for k in np.flatnonzero((both > 0) & (100 * both >= 75 * (sizes + len(s) - both))):
+            a, b = self._root(component), self._root(self.components[k])
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                out.append((component, self.components[k]))
+        return out
 
 
-def sketches(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, and for texts with words: set_key (128-bit hash of the set), bands and coordinates (low bytes)."""
+def sketches(df: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, and for texts with words: set_key (128-bit hash of the set) and bands, of rows (doc_id, text, mark)."""
 
     def run(batches):
         for batch in chunks(batches, 1):
-            n, keys, bands, low = [], [], [], []
+            n, keys, bands = [], [], []
             for t in utf8(batch.column(1)):
                 s = shingles(t)
                 n.append(len(s))
-                if not len(s):
-                    keys.append(None)
-                    bands.append(None)
-                    low.append(None)
-                    continue
-                sig = signature(s)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(sig))
-                low.append((sig & np.uint32(255)).astype(np.uint8).view(np.int8))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int8()))], ["doc_id", "n_shingles", "set_key", "bands", "low"])
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                bands.append(band_keys(signature(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "n_shingles", "set_key", "bands"])
+        released(_windows)
 
-    return df.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, low array<tinyint>")
+    return df.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (a, b, text_a, text_b) that are linked by their full sets."""
+def compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between components of rows (one, other, passing, component, text), by their full sets.
 
-    def run(batches):
-        recent: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part in chunks([batch], 3):
-                keep = []
-                for a, text_a, text_b in zip(part.column(0).to_pylist(), utf8(part.column(2)), utf8(part.column(3)), strict=True):
-                    if a not in recent:
-                        if len(recent) >= 32:
-                            recent.clear()
-                        recent[a] = shingles(text_a)
-                    keep.append(linked(recent[a], shingles(text_b)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _bucket_links(group: pa.Table) -> pa.Table:
-    """Links between components of a bucket's members that are linked by their full sets.
-
-    Pairs are taken by descending likeness, each in the first band that it shares alone, and are
-    passed over once their components have met; so the result is a forest.
+    A group is (one, other): its rows that don't pass are held, and the others are compared with all of them as
+    they stream by. A group that a batch cuts goes on in the next one.
     """
-    band = group.column("band")[0].as_py()
-    low = np.array(group.column("low").to_pylist(), np.int8)
-    bands = np.array(group.column("bands").to_pylist(), np.int64)
-    component = np.array(group.column("component").to_pylist(), np.int64)
-    size = np.array(group.column("n_shingles").to_pylist(), np.int64)
-    tile = np.array(group.column("tile").to_pylist(), np.int64)
-    one, other = group.column("one")[0].as_py(), group.column("other")[0].as_py()
-    texts_ = group.column("text").combine_chunks().cast(pa.binary())
-    left = np.flatnonzero(tile == one)
-    right = left if one == other else np.flatnonzero(tile == other)
-    found = []
-    for i in left:
-        rest = right[right > i] if one == other else right
-        rest = rest[(component[rest] != component[i]) & (4 * np.minimum(size[rest], size[i]) >= 3 * np.maximum(size[rest], size[i]))]
-        if len(rest):
-            like = (low[rest] == low[i]).mean(axis=1)
-            rest, like = rest[like >= LEAST_ESTIMATE], like[like >= LEAST_ESTIMATE]
-            mine = (bands[rest] == bands[i]).argmax(axis=1) == band
-            found += [(-x, i, j) for x, j in zip(like[mine].tolist(), rest[mine].tolist(), strict=True)]
-    found.sort()
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            x = up
-        return x
 
-    sets: dict[int, np.ndarray] = {}
-    links = []
-    for _, i, j in found:
-        a, b = root(int(component[i])), root(int(component[j]))
-        if a == b:
-            continue
-        for k in (i, j):
-            if k not in sets:
-                sets[k] = shingles(texts_[k].as_py() or b"")
-        if linked(sets[i], sets[j]):
-            parent[max(a, b)] = min(a, b)
-            links.append((int(component[i]), int(component[j])))
-    a, b = zip(*links, strict=True) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches):
+        group, held = None, Held()
+        for batch in chunks(batches, 4):
+            found = []
+            ones, others, passing, components_ = (batch.column(k).to_pylist() for k in range(4))
+            for key, streams, component, text in zip(zip(ones, others, strict=True), passing, components_, utf8(batch.column(4)), strict=True):
+                if key != group:
+                    group, held = key, Held()
+                if streams:
+                    found += held.links(component, shingles(text))
+                else:
+                    held.hold(component, shingles(text))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = rows.select("one", "other", "passing", "component", "text")
+    return rows.repartition("one", "other").sortWithinPartitions("one", "other", "passing").mapInArrow(run, "a long, b long")
+
+
+def _spread(upto) -> F.Column:
+    """0 to ``upto``, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), upto.cast("long")))
+
+
+def _led(pairs: DataFrame) -> DataFrame:
+    """(one, other, passing, node) for pairs (a, b): a is held by groups of its own, among which its partners are dealt."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("salts"))
+    held = many.select(F.col("a").alias("one"), _spread(F.col("salts") - 1).alias("other"), F.lit(False).alias("passing"), F.col("a").alias("node"))
+    passing = pairs.join(many, "a").select(F.col("a").alias("one"), F.pmod(F.xxhash64("b"), "salts").alias("other"), F.lit(True).alias("passing"), F.col("b").alias("node"))
+    return held.unionByName(passing)
+
+
+def _tiled(placed: DataFrame) -> DataFrame:
+    """(one, other, passing, node) for rows (bucket, node, component, n_shingles) of buckets with several components.
+
+    The members outside a bucket's largest component are dealt to blocks that hold them; all members stream past
+    the blocks, those outside past blocks up to their own. So every pair across components meets, and a bucket that has
+    almost come together costs little.
+    """
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    of = parts.groupBy("bucket").agg(F.sum("n").alias("members"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "component")).alias("largest"), F.count("*").alias("several")).where("several > 1 AND members > 2")
+    blocks = F.greatest(F.ceil((F.col("members") - F.col("largest.n")) / HELD_TEXTS), F.ceil((F.col("held") - F.col("largest.held")) / HELD_SHINGLES))
+    of = of.select("bucket", F.col("largest.component").alias("largest"), blocks.alias("blocks"), F.ceil(F.col("members") / PASSING).alias("salts"))
+    open_ = placed.select("bucket", "node", "component").join(of, "bucket")
+    open_ = open_.withColumn("own", F.when(F.col("component") != F.col("largest"), F.pmod(F.xxhash64("node", "bucket"), "blocks")))
+    held = open_.where(F.col("own").isNotNull()).select(F.col("bucket").alias("one"), F.col("own").alias("block"), _spread(F.col("salts") - 1).alias("salt"), F.lit(False).alias("passing"), "node")
+    passing = open_.select(F.col("bucket").alias("one"), _spread(F.coalesce("own", F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.lit(True).alias("passing"), "node")
+    return held.unionByName(passing).select("one", (F.col("block") * F.lit(1 << 24) + F.col("salt")).alias("other"), "passing", "node")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``df``.
 
-    Texts with equal sets are one node, named by their smallest id. Nodes that share a band meet in
-    buckets. First each bucket's smallest node is verified against the others, which joins most
-    copies; buckets that still hold several components are then searched for every pair across them.
+    Texts with equal sets are one node. Nodes that share a band meet in buckets. Each bucket is led by the member
+    that shares most places with others, in a group of copies most often the text that they come from. Each node is
+    first verified against its weightiest leader, which joins most copies, then against its other leaders, where components
+    still differ. Buckets that still hold several components are then searched for every pair across them.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. A
     repeated row is the same document; rows with one id and several texts are one document with the
@@ -201,46 +227,52 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     rows. Other columns of ``df`` are left out.
     """
     shared_folder(df.sparkSession)
-    documents = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    documents = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
     rows = sketches(documents).checkpoint()
     known = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "low"))).checkpoint()
-    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.sum("n_shingles").alias("held")).where("members > 1")
+    first = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "bands")))
+    nodes = first.select(F.monotonically_increasing_id().alias("node"), "set_key", "least.doc_id", "least.mark", "n_shingles", "bands").checkpoint()
+    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = banded.join(shared, "bucket").checkpoint()
-    needed = members.select(F.col("node").alias("doc_id")).distinct()
-    whole = documents.join(needed, "doc_id").distinct().checkpoint()
-
-    def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("low").alias(f"low_{name}"))
-
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    agreeing = F.aggregate(F.zip_with("low_a", "low_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where((4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (agreeing >= LEAST_ESTIMATE * COORDINATES)).select("a", "b")
-    read = lambda name: whole.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
-    links = _verified(pairs.join(read("b"), "b").join(read("a"), "a"))
-    of_set = known.join(nodes.select("set_key", "node"), "set_key").select("doc_id", "node")
-    several = of_set.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id")
-    links = links.unionByName(of_set.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    first = components(links).checkpoint()
-
-    placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    placed = placed.where("members > 2").join(open_, "bucket").withColumn("tiles", F.greatest(F.ceil(F.col("members") / TILE_MEMBERS), F.ceil(F.col("held") / TILE_SHINGLES)))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    placed = placed.withColumn("one", F.least("tile", "partner")).withColumn("other", F.greatest("tile", "partner"))
-    placed = placed.join(nodes.select("node", "bands", "low"), "node").join(whole.withColumnRenamed("doc_id", "node"), "node")
-    more = placed.select("bucket", "band", "one", "other", "tile", "component", "n_shingles", "bands", "low", "text").groupBy("bucket", "one", "other").applyInArrow(_bucket_links, "a long, b long")
-    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-
-    final = first.join(second, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
-    alone = second.where("component <> merged").join(first.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component"))
-    final = nodes.select("set_key", "node").join(final.unionByName(alone), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
+    weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    needed = weights.join(nodes.select("node", "doc_id", "mark"), "node")
+    texts_ = documents.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))  # repeated rows meet before the shuffle
+    whole = texts_.join(needed, ["doc_id", "mark"]).select("node", "text").checkpoint()
+    of_row = rows.select("doc_id", "n_shingles", "set_key").join(nodes.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", "node").checkpoint()
+    ids = of_row.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    one_id = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))
+
+    leaders = members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("leader"))
+    pairs = members.join(leaders, "bucket").where("leader.node <> node").select("leader", F.col("node").alias("b"))
+    best = pairs.groupBy("b").agg(F.max("leader").alias("leader")).select(F.col("leader.node").alias("a"), "b")
+    pairs = pairs.select(F.col("leader.node").alias("a"), "b").distinct()
+
+    def links(dealt: DataFrame, found: DataFrame | None) -> DataFrame:
+        rows = dealt.join(whole, "node")
+        rows = rows.withColumn("component", F.col("node")) if found is None else _component(rows, found, "node", "component")
+        return compared(rows)
+
+    found = components(links(_led(best), None).unionByName(one_id)).checkpoint()
+    apart = _component(_component(pairs, found, "a", "x"), found, "b", "y").where("x <> y").select("a", "b").join(best, ["a", "b"], "left_anti")
+    found = joined(found, links(_led(apart.checkpoint()), found))
+    placed = _component(members.select("bucket", "node", "n_shingles"), found, "node", "component")
+    found = joined(found, links(_tiled(placed.checkpoint()), found))
+
+    named = _component(nodes.select("node", "doc_id"), found, "node", "component")
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
+    out = of_row.join(named, "node", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _component(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``node`` as ``name``; a node that isn't in ``found`` is its own."""
+    known = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
