@@ -20,10 +20,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows that repeat its id, all stay."""
-    found = minhash.near_duplicates(docs)
+    """The document with the smallest id of each group of near copies, and one row of it for each text of its own.
+
+    Rows without an id are in no group; all of them stay, as do documents without words.
+    """
+    found = minhash.near_duplicates(docs).persist(StorageLevel.DISK_ONLY)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    several = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    rows = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    once = rows.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(several, "doc_id", "left_anti").unionByName(once)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
