@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id are in no group; all of them stay, as do documents without words.
     """
-    found = minhash.near_duplicates(docs).persist(StorageLevel.DISK_ONLY)
+    found = minhash.near_duplicates(docs).checkpoint()
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     several = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     rows = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
