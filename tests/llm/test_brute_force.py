@@ -290,6 +290,37 @@ def test_forward_backward_is_the_sum_over_all_taggings():
     assert np.allclose(toxicity.sigmoid(forward + backward), mass[:, 1] / mass.sum(axis=1))
 
 
+def test_messages_over_chains_of_any_length():
+    rng = np.random.default_rng(6)
+    m = toxicity.Field(np.zeros(1), -1.5, -2.1, 0.3, 1.2, np.zeros(3))
+    length = np.array([1, 128, 129, 5, 1000, 256, 257, 40])
+    first = np.cumsum(length) - length
+    e = rng.normal(0, 3, length.sum())
+    forward, backward = toxicity.messages(e, first, length, m)
+    for a, n in zip(first, length, strict=True):
+        x = e[a] + m.begin
+        for t in range(a, a + n):
+            if t > a:
+                x = e[t] + np.logaddexp(x + m.stay, m.to_toxic) - np.logaddexp(x + m.to_clean, 0)
+            assert np.isclose(forward[t], x)
+        y = 0.0
+        for t in range(a + n - 1, a - 1, -1):
+            if t < a + n - 1:
+                z = y + e[t + 1]
+                y = np.logaddexp(z + m.stay, m.to_clean) - np.logaddexp(z + m.to_toxic, 0)
+            assert np.isclose(backward[t], y)
+
+
+def test_offending_offsets_are_whole_tokens(spark):
+    rows_ = [(i, f"this {'vile' if i % 2 else 'nice'} person {'vile' if i % 2 else 'nice'}ly said word{i}.") for i in range(80)]
+    m = toxicity.fit([(t, i % 2) for i, t in rows_], 0.5)
+    got = toxicity.score_toxicity(spark.createDataFrame(rows_, "doc_id long, text string"), m).collect()
+    for r in got:
+        text = rows_[r["doc_id"]][1]
+        assert {text[s["start"] : s["end"]] for s in r["spans"]} <= {"vile", "vilely"}
+        assert r["predicted"] == r["doc_id"] % 2 == bool(r["spans"])
+
+
 def test_recall_of_the_permutation_index(spark):
     table = rows(SMALL, "embeddings")
     x, ids = np.array([r["embedding"] for r in table], float), np.array([r["vec_id"] for r in table])

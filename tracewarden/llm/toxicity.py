@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, texts
+from .common import chunks, released, table, texts
 
 #: Bound of the sample that the classifier is fitted on: rows of each class, and characters of a text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 BUCKETS = 1 << 18
-#: A sentence without a full stop is cut into chains of so many tokens.
-CHAIN = 128
-MOST_UNITS = 200_000
+#: Tokens of a long chain that are walked together with those of its other blocks.
+BLOCK = 128
+MOST_UNITS = 150_000
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|/\\~`^_-+=«»¿¡…"
 END = (".", "!", "?", ".\"", "!\"", "?\"")
 
@@ -52,41 +52,81 @@ class Field:
 
 
 def chains(ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and length of each chain. ``ends``: token ends a sentence; ``starts``: first tokens of documents."""
+    """First token and length of each chain, a whole sentence. ``ends``: token ends a sentence; ``starts``: first tokens of documents."""
     n = len(ends)
     cut = np.zeros(n + 1, bool)
     cut[1:] = ends
     cut[starts] = True
     cut[n] = True
     first = np.flatnonzero(cut[:n])
-    length = np.diff(np.append(first, n))
-    if len(length) and length.max() > CHAIN:
-        parts = -(-length // CHAIN)
-        which = np.repeat(np.arange(len(first)), parts)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = first[which] + k * CHAIN
-        length = np.minimum(CHAIN, length[which] - k * CHAIN)
-    return first, length
+    return first, np.diff(np.append(first, n))
+
+
+def _step(a, e, stay: float, enter: float, leave: float):
+    """Log odds of toxic after a token with emission ``e``, from log odds ``a`` before it."""
+    return e + np.logaddexp(a + stay, enter) - np.logaddexp(a + leave, 0)
+
+
+def _walk(e: np.ndarray, at: np.ndarray, size: np.ndarray, sign: int, a: np.ndarray, moves: tuple, out: np.ndarray) -> None:
+    """Fill ``out`` along runs of ``size`` tokens from ``at`` on, all runs in step; ``a``: log odds of their first tokens."""
+    order = np.argsort(-size, kind="stable")
+    at, size, a = at[order], size[order], a[order]
+    live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")  # runs longer than t
+    out[at] = a
+    for t in range(1, len(live)):
+        here = at[: live[t]] + sign * t
+        out[here] = a = _step(a[: live[t]], e[here], *moves)
+
+
+def _transfer(e: np.ndarray, at: np.ndarray, sign: int, stay: float, enter: float, leave: float) -> tuple[np.ndarray, ...]:
+    """What blocks of ``BLOCK`` tokens make of the state before them: log weights of clean and of toxic after it, from clean, then from toxic."""
+    clean, toxic = np.stack([np.zeros(len(at)), np.full(len(at), -np.inf)]), np.stack([np.full(len(at), -np.inf), np.zeros(len(at))])
+    for t in range(BLOCK):
+        clean, toxic = np.logaddexp(clean, toxic + leave), e[at + sign * t] + np.logaddexp(clean + enter, toxic + stay)
+    return clean[0], toxic[0], clean[1], toxic[1]
+
+
+def swept(e: np.ndarray, first: np.ndarray, length: np.ndarray, sign: int, begin: float, stay: float, enter: float, leave: float) -> np.ndarray:
+    """Log odds carried along whole chains of any length, from ``first`` on by ``sign``.
+
+    A step is a fractional linear map, so that those of a block make one map. Long chains are cut into blocks whose maps
+    are found together; what each block starts from is then carried over the blocks, and all blocks are walked together.
+    """
+    moves = stay, enter, leave
+    parts = -(-length // BLOCK)
+    begun = np.cumsum(parts) - parts
+    chain = np.repeat(np.arange(len(first)), parts)
+    k = np.arange(len(chain)) - begun[chain]
+    at, size = first[chain] + sign * BLOCK * k, np.minimum(BLOCK, length[chain] - BLOCK * k)
+    out = np.empty(len(e))
+    head = k == 0
+    _walk(e, at[head], size[head], sign, e[at[head]] + begin, moves, out)
+    if not head.all():
+        inner = np.flatnonzero((k > 0) & (k < parts[chain] - 1))
+        place = np.zeros(len(k), np.int64)
+        place[inner] = np.arange(len(inner))
+        c0, x0, c1, x1 = _transfer(e, at[inner], sign, *moves)
+        before = np.empty(len(k))
+        long = np.flatnonzero(parts > 1)
+        a = out[at[begun[long]] + sign * (BLOCK - 1)]
+        for j in range(1, int(parts.max())):
+            before[begun[long] + j] = a
+            more = parts[long] > j + 1
+            long, a = long[more], a[more]
+            i = place[begun[long] + j]
+            a = np.logaddexp(x0[i], a + x1[i]) - np.logaddexp(c0[i], a + c1[i])
+        rest = ~head
+        _walk(e, at[rest], size[rest], sign, _step(before[rest], e[at[rest]], *moves), moves, out)
+    return out
 
 
 def messages(e: np.ndarray, first: np.ndarray, length: np.ndarray, m: Field) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of toxic by forward and by backward messages, for each token; all chains step together."""
-    forward, backward = np.empty(len(e)), np.zeros(len(e))
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    longest = int(length[0]) if len(length) else 0
-    live = np.searchsorted(-length, -np.arange(longest), side="left")  # chains longer than t
-    if longest:
-        forward[first] = a = e[first] + m.begin
-    for t in range(1, longest):
-        at = first[: live[t]] + t
-        a = a[: live[t]]
-        forward[at] = a = e[at] + np.logaddexp(a + m.stay, m.to_toxic) - np.logaddexp(a + m.to_clean, 0)
-    for t in range(longest - 2, -1, -1):
-        at = first[: live[t + 1]] + t
-        x = backward[at + 1] + e[at + 1]
-        backward[at] = np.logaddexp(x + m.stay, m.to_clean) - np.logaddexp(x + m.to_toxic, 0)
-    return forward, backward
+    """Log odds of toxic by forward and by backward messages, for each token.
+
+    Backward is the same walk from the ends, with the transitions exchanged.
+    """
+    forward = swept(e, first, length, 1, m.begin, m.stay, m.to_toxic, m.to_clean)
+    return forward, swept(e, first + length - 1, length, -1, 0.0, m.stay, m.to_clean, m.to_toxic) - e
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -280,9 +320,11 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counted = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    short = documents.where(F.length("text") <= most_chars).select("doc_id").distinct()
+    eligible = known.join(short, "doc_id", "left_semi")
+    chosen = [eligible.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 x rows ids
-    found = documents.select("doc_id", "text").where(F.length("text") <= most_chars).join(sample, "doc_id").select("text", "toxic").collect()
+    found = documents.select("doc_id", "text").where(F.length("text") <= most_chars).join(sample, "doc_id").select("text", "toxic").distinct().limit(4 * rows).collect()
     total = sum(counted.values())
     return fit([(r["text"], r["toxic"]) for r in found], counted.get(1, 0) / total if total else 0.0)
 
@@ -303,6 +345,8 @@ def score_toxicity(df: DataFrame, model: Field, text: str = "text", key: str = "
             columns = [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             pairs = pa.array([[{"start": a, "end": b} for a, b in x] for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*columns, pairs], [key, "score", "predicted", "spans"])
+        del scorer
+        released()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int, spans array<struct<start:int,end:int>>")
 
@@ -312,7 +356,8 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = train(documents, table(spark, sf_dir, "labels"))
     out = score_toxicity(documents, model)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), offsets.alias("spans"))
 
 
 def keep_clean(df: DataFrame, model: Field, text: str = "text") -> DataFrame:
@@ -328,5 +373,7 @@ def keep_clean(df: DataFrame, model: Field, text: str = "text") -> DataFrame:
         for batch in chunks(batches, place):
             score, _ = scorer.score(texts(batch.column(place)), False)
             yield batch.filter(pa.array(score < 0.5))
+        del scorer
+        released()
 
     return df.mapInArrow(run, df.schema)
