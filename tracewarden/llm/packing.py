@@ -14,18 +14,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe_trie import SPACE
-from .common import chunks, table, texts
+from .common import chunks, released, table, texts
 
 WINDOW, BINS = 4096, 64
 #: Tokens held at once by a task; a longer document makes a block of its own.
 BLOCK_TOKENS = 1 << 22
-MOST_UNITS = 500_000
+MOST_UNITS = 400_000
 #: Words given to the tokenizers library as one text; each ends with a token that ends a word.
-JOINED = 512
+JOINED = 64
 
 
 def combinations(bins: int) -> np.ndarray:
@@ -195,45 +195,54 @@ class UnitIds:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.odd = re.compile("[\u0130\u0250-\U0010ffff]").search
-        self.separators = re.compile("[\x1c-\x1f]").search  # white space to Python alone
-        self.space = re.compile(f"[{SPACE}]+")
-        self.stop = re.compile(r"([.,])(?<=[^\W_][.,])(?=\s)").sub
+        # Only after letters and digits that neither normalising nor lowering ends with another kind of character.
+        self.stop = re.compile("([.,])(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,])(?=[\t-\r ])").sub
 
-    def encode(self, given: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, then ``end``."""
-        cut = [self.cut(t) for t in given]
-        needed = set().union(*cut)
-        if len(self.held) > MOST_UNITS:
-            self.held = {u: x for u in needed if (x := self.held.get(u)) is not None}
+    def learn(self, units: list[str]) -> None:
+        """Encode units that are not held yet."""
         held = self.held
-        words, others = [], []
-        for u in needed:
-            if u not in held:
-                (words if u.isalpha() else others).append(u)
-        for k in range(0, len(words), JOINED):
-            some = words[k : k + JOINED]
-            flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        if len(held) > MOST_UNITS:
+            held = self.held = {u: x for u in units if (x := held.get(u)) is not None}
+        new = [u for u in units if u not in held]
+        words = [u for u in new if u.isalpha()]
+        others = [u for u in new if not u.isalpha()]
+        lots = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            flat = np.array(e.ids, "<u4")
             ends = (np.flatnonzero(self.ends[flat]) + 1) * 4
-            if len(ends) != len(some):
-                others += some
+            if len(ends) != len(lot):
+                others += lot
                 continue
             flat, at = flat.tobytes(), 0
-            for u, end_at in zip(some, ends.tolist(), strict=True):
+            for u, end_at in zip(lot, ends.tolist(), strict=True):
                 held[u] = flat[at:end_at]
                 at = end_at
         for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             held[u] = np.array(e.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
-        return [b"".join(map(held.__getitem__, units)) + last for units in cut]
 
-    def cut(self, text: str) -> list[str]:
-        """Units of a text: between white space, without a stop or comma that ends a word, in lower case
-        where that is the vocabulary's own lowering."""
+    def encode(self, given: list[str], end: int) -> list[np.ndarray]:
+        """Little-endian 32-bit ids of each text, then ``end``."""
+        cut = pc.ascii_split_whitespace(pa.array(map(self.cut, given), pa.large_string()))
+        begin = cut.offsets.to_numpy()
+        coded = cut.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(units)
+        spelt = [*map(self.held.__getitem__, units), np.array([end], "<u4").tobytes()]
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
+        flat = np.frombuffer(b"".join(spelt), "<u4")
+        order = np.insert(coded.indices.to_numpy(), begin[1:] - begin[0], len(units))
+        n = sizes[order]
+        after = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[order] - (after - n), n) + np.arange(len(after) and after[-1])]
+        stops = after[begin[1:] - begin[0] + np.arange(len(given))] if len(given) else np.zeros(0, np.int64)
+        return np.split(ids, stops[:-1]) if len(given) else []
+
+    def cut(self, text: str) -> str:
+        """A text without a stop or comma that ends a word (a blank divides them), in lower case where that is the
+        vocabulary's own lowering. No token crosses ASCII white space in it."""
         if "<|" not in text and not self.odd(text):
             text = text.lower()
-        if self.separators(text):
-            return [u for u in self.space.split(text) if u]
-        return self.stop(r" \1", text).split()
+        return self.stop(r" \1", text)
 
 
 _MADE: dict[str, UnitIds] = {}
@@ -258,16 +267,16 @@ def _pack(df: DataFrame, path: str, end: int, window: int, block_tokens: int, te
             _MADE[path] = UnitIds(path)
         part, begun = TaskContext.get().partitionId(), 0
 
-        def packed(keys: list, ids: list[bytes]):
+        def packed(keys: list, ids: list[np.ndarray]):
             nonlocal begun
-            counts = [len(x) // 4 for x in ids]
+            counts = [len(x) for x in ids]
             pieces = pack_block(counts, window)
             item, start, length, seq, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-            cuts = [ids[i][4 * s : 4 * (s + n)] for i, s, n, _, _ in pieces]
+            cuts = [ids[i][s : s + n] for i, s, n, _, _ in pieces]
             columns = [pa.array(keys, key_type).take(pa.array(item)), pa.array(start), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(np.array(counts, np.int64)[item]), pa.array((part << 40) + begun + seq), pa.array(offset)]
             names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(c, "<i4") for c in cuts], pa.list_(pa.int32())))
+                columns.append(pa.array([c.view("<i4") for c in cuts], pa.list_(pa.int32())))
                 names.append("ids")
             begun += int(seq.max()) + 1
             yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=20_000)
@@ -278,12 +287,14 @@ def _pack(df: DataFrame, path: str, end: int, window: int, block_tokens: int, te
             keys += batch.column(0).to_pylist()
             for x in _MADE[path].encode(texts(batch.column(1)), end):
                 ids.append(x)
-                held += len(x) // 4
+                held += len(x)
             if held >= block_tokens:
                 yield from packed(keys, ids)
                 keys, ids, held = [], [], 0
         if ids:
             yield from packed(keys, ids)
+        del keys, ids
+        released(_MADE)
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
 
