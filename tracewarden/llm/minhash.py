@@ -126,7 +126,7 @@ class Held:
         return np.bincount(owner[at], minlength=len(sizes))
 
     def links(self, component: int, s: np.ndarray) -> list[tuple[int, int]]:
-        """Components that ``s`` links with its own: 100 * intersection >= 75 * union. Those that have met in
+        """Held components that ``s`` is linked with, each with its own: 100 * intersection >= 75 * union. Those that have met in
         this group are left out."""
         both = self.intersections(s)
         sizes = self.lists[2]
@@ -135,7 +135,7 @@ class Held:
             a, b = self._root(component), self._root(self.components[k])
             if a != b:
                 self.up[max(a, b)] = min(a, b)
-                out.append((component, self.components[k]))
+                out.append((self.components[k], component))
         return out
 
 
@@ -203,7 +203,7 @@ def _tiled(placed: DataFrame) -> DataFrame:
     almost come together costs little.
     """
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
-    of = parts.groupBy("bucket").agg(F.sum("n").alias("members"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "component")).alias("largest"), F.count("*").alias("several")).where("several > 1 AND members > 2")
+    of = parts.groupBy("bucket").agg(F.sum("n").alias("members"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "component")).alias("largest"), F.count("*").alias("several")).where("several > 1")
     blocks = F.greatest(F.ceil((F.col("members") - F.col("largest.n")) / HELD_TEXTS), F.ceil((F.col("held") - F.col("largest.held")) / HELD_SHINGLES))
     of = of.select("bucket", F.col("largest.component").alias("largest"), blocks.alias("blocks"), F.ceil(F.col("members") / PASSING).alias("salts"))
     open_ = placed.select("bucket", "node", "component").join(of, "bucket")
@@ -218,8 +218,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     Texts with equal sets are one node. Nodes that share a band meet in buckets. Each bucket is led by the member
     that shares most places with others, in a group of copies most often the text that they come from. Each node is
-    first verified against its weightiest leader, which joins most copies, then against its other leaders, where components
-    still differ. Buckets that still hold several components are then searched for every pair across them.
+    first verified against its weightiest leader, which joins most copies. Buckets that still hold several components are
+    then searched for every pair across them.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. A
     repeated row is the same document; rows with one id and several texts are one document with the
@@ -246,19 +246,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     leaders = members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("leader"))
     pairs = members.join(leaders, "bucket").where("leader.node <> node").select("leader", F.col("node").alias("b"))
-    best = pairs.groupBy("b").agg(F.max("leader").alias("leader")).select(F.col("leader.node").alias("a"), "b")
-    pairs = pairs.select(F.col("leader.node").alias("a"), "b").distinct()
-
-    def links(dealt: DataFrame, found: DataFrame | None) -> DataFrame:
-        rows = dealt.join(whole, "node")
-        rows = rows.withColumn("component", F.col("node")) if found is None else _component(rows, found, "node", "component")
-        return compared(rows)
-
-    found = components(links(_led(best), None).unionByName(one_id)).checkpoint()
-    apart = _component(_component(pairs, found, "a", "x"), found, "b", "y").where("x <> y").select("a", "b").join(best, ["a", "b"], "left_anti")
-    found = joined(found, links(_led(apart.checkpoint()), found))
-    placed = _component(members.select("bucket", "node", "n_shingles"), found, "node", "component")
-    found = joined(found, links(_tiled(placed.checkpoint()), found))
+    best = pairs.groupBy("b").agg(F.max("leader").alias("leader")).select(F.col("leader.node").alias("a"), "b").checkpoint()
+    found = _rooted(compared(_led(best).join(whole, "node").withColumn("component", F.col("node"))))
+    placed = _component(members.select("bucket", "node", "n_shingles"), found, "node", "component").checkpoint()
+    more = compared(_component(_tiled(placed).join(whole, "node"), found, "node", "component"))
+    one_id = _component(_component(one_id, found, "a", "x"), found, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = joined(found, more.unionByName(one_id))
 
     named = _component(nodes.select("node", "doc_id"), found, "node", "component")
     named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
@@ -267,6 +260,17 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _rooted(links: DataFrame) -> DataFrame:
+    """(node, component) for links (a, b) that give each b one a and form no ring: b takes the a of its a until it is a root."""
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("component")).distinct().checkpoint()
+    while True:
+        further = up.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        up = up.join(further, "component", "left").select("node", F.coalesce("root", "component").alias("component"), F.col("root").isNotNull().alias("moved")).checkpoint()
+        if up.where("moved").isEmpty():
+            return up.select("node", "component").unionByName(up.select(F.col("component").alias("node"), "component").distinct())
+        up = up.select("node", "component")
+
+
 def _component(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
     """``rows`` with the component of ``node`` as ``name``; a node that isn't in ``found`` is its own."""
     known = found.select(F.col("node").alias(node), F.col("component").alias(name))
