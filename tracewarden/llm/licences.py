@@ -8,7 +8,7 @@ the share of a template that the text covers.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,20 +23,24 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Openings of published licences and notices.
+#: Published licences and notices, or their openings.
 TEMPLATES = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 #: A maximal match counts for a chain from so many words on; so much of a template gives its label.
 LEAST_WORDS, COVERAGE = 4, 0.5
+#: A chain may take up so many times the words of its template.
+STRETCH = 4
 #: Letters, digits and what is not ASCII make words; A-Z is lowered, all else divides.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -174,39 +178,31 @@ class Scanner:
 
     @staticmethod
     def _best(matches: list[tuple[int, int, int]], size: int) -> tuple[int, int, int, bool]:
-        """Most template words covered by matches (text end, template end, length) with template ends ascending,
-        all within a stretch of text of four times the template; and where that chain begins and ends."""
+        """The chain of matches (text end, template end, length) that covers most template words, and where it begins and ends.
+
+        Both ends ascend along a chain; what a match shares in text or template with the one before it does not count
+        again; a chain lies in a stretch of text of four times the template. Of equals the first one.
+        """
+        found = sorted(set(matches))
+        ends = [i for i, _, _ in found]
         best = (0, 0, 0, False)
-        # tails[j]: (template end, covered, first word) with both ascending; a match extends the best that ends before it.
-        tails: list[tuple[int, int, int]] = []
-        recent: list[tuple[int, int, int]] = []
-        for i, end, length in sorted(set(matches)):
-            begin = i - length
-            if recent and begin - recent[0][2] > 4 * size:
-                recent = [m for m in recent if begin - m[2] <= 4 * size]
-                tails = []
-                for m in recent:
-                    Scanner._put(tails, m)
-            at = bisect_left(tails, (end,)) - 1
-            covered, first = length, begin
-            if at >= 0:
-                t_end, t_covered, t_first = tails[at]
-                covered, first = t_covered + min(length, end - t_end), t_first
-            Scanner._put(tails, (end, covered, first))
-            recent.append((end, covered, first))
-            if covered > best[0]:
-                best = (covered, first, i, True)
+        for begin in sorted({i - length for i, _, length in found}):
+            window = [m for m in found[bisect_right(ends, begin) : bisect_right(ends, begin + STRETCH * size)] if m[0] - m[2] >= begin]
+            if min(size, sum(m[2] for m in window)) <= best[0]:
+                continue
+            covered: list[int] = []
+            for k, (i, end, length) in enumerate(window):
+                # A chain begins where the window does; others are found from their own beginnings.
+                most = length if i - length == begin else 0
+                for j in range(k):
+                    before, before_end, _ = window[j]
+                    if covered[j] and before < i and before_end < end:
+                        most = max(most, covered[j] + min(length, i - before, end - before_end))
+                covered.append(most)
+                if most > best[0]:
+                    best = (most, begin, i, True)
         return best
 
-    @staticmethod
-    def _put(tails: list[tuple[int, int, int]], new: tuple[int, int, int]) -> None:
-        at = bisect_left(tails, new[:1])
-        if at and tails[at - 1][1] >= new[1]:
-            return
-        while at < len(tails) and tails[at][1] <= new[1]:
-            del tails[at]
-        tails.insert(at, new)
-
 
 _MADE: list[Scanner] = []
 
