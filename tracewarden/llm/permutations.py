@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .components import shared_folder
 
-#: Pivots, pivots in a prefix, the part and the number of a block's vectors that are ranked anew.
-PIVOTS, PREFIX, PART, LEAST = 128, 64, 0.15, 400
+#: Pivots, pivots in a prefix, and the part of a block's vectors that are ranked anew.
+PIVOTS, PREFIX, PART = 256, 64, 0.2
 #: The grid: blocks of vectors (as many at least, so that tasks share the work) by chunks of queries.
 LEAST_BLOCKS, BLOCK_ROWS, CHUNK_ROWS = 12, 65_536, 16_384
 
@@ -45,18 +45,18 @@ class Block:
     def _lift(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", x, x), 0))
 
-    def search(self, queries: np.ndarray, k: int, part: float = PART, least: int = LEAST) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, k: int, part: float = PART) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query up to ``k`` places in the block and their inner products, largest first."""
         near = prefixes(queries, np.zeros(len(queries)), self.pivots, self.pivot_lift, self.prefix)
         n = len(self.x)
-        most = min(n, max(least, k, int(np.ceil(part * n))))
+        most = min(n, max(k, int(np.ceil(part * n))))
         out = []
         for q, mine in zip(queries, near, strict=True):
             if most < n:
                 shared = np.zeros(n, np.uint16)
                 for p, w in zip(mine, self.weights, strict=True):
                     shared += np.minimum(self.lists[p], w)
-                chosen = np.argpartition(shared, n - most)[n - most :]
+                chosen = np.argsort(shared, kind="stable")[n - most :]  # of ties the later places
             else:
                 chosen = np.arange(n)
             score = (self.x[chosen] * q).sum(axis=1)  # the same for equal vectors, wherever they stand
@@ -87,7 +87,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embeddin
     Equal vectors are searched once, as query and as candidate, and keep their k + 1 smallest ids; so a
     vector that very many rows share costs as much as another. Rows are hashed to blocks, queries to
     chunks, and each pair of these is a task of bounded memory. A repeated row is one
-    row; an id with several vectors is as many candidates and queries, and may stand there more than once. Unusable vectors (see ``distinct_vectors``) give no rows, nor does an
+    row; ties in footrule distance are cut by place in the block, ties in score by id. An id with several vectors is as many candidates and queries, and may stand there more than once. Unusable vectors (see ``distinct_vectors``) give no rows, nor does an
     empty table; fewer candidates than k give them all. Other columns of ``df`` are left out.
     """
     shared_folder(df.sparkSession)
