@@ -221,8 +221,21 @@ def test_the_network_tells_keys_from_harmless_runs():
     assert net.score([secrets.coded(("", "a1" * 5000, ""))]).shape == (1,)
 
 
+def test_keys_of_kinds_that_no_rule_knows_are_found():
+    net, rng = secrets.fit_unlabelled([]), random.Random(8)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rng.choice(alnum) for _ in range(n))
+    kinds = {"ghp_": 36, "glpat-": 20, "sk_live_": 24, "xoxb-": 40, "": 32, "eyJ": 60, "zz9_": 30}
+    for prefix, n in kinds.items():
+        texts = [f"we wrote down {prefix}{key(n)} in the notes" for _ in range(60)]
+        assert np.mean([any(x[1] == 3 for x in secrets.scan(t, net)) for t in texts]) > 0.9, prefix
+    other = secrets.generated(300, seed=99)
+    p, y = net.score([secrets.coded(x) for x, _ in other]) >= net.threshold, np.array([y for _, y in other]) == 1
+    assert p[y].mean() > 0.95 and p[~y].mean() < 0.03
+
+
 def test_keys_with_few_digits_are_found():
-    net, rng = secrets.fit(secrets.generated()), random.Random(4)
+    net, rng = secrets.fit_unlabelled([]), random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = []
     for k in range(300):
@@ -256,6 +269,41 @@ def test_matching_statistics():
             assert got.get(i, 0) == max((n for n in range(1, i + 1) if tuple(text[i - n : i]) in runs), default=0)
 
 
+def chains_by_hand(matches, size):
+    """Best cover over every chain, one by one."""
+    found, best = sorted(set(matches)), 0
+
+    def follow(chain, covered):
+        nonlocal best
+        best = max(best, covered)
+        i, end, _ = chain[-1]
+        for m in found:
+            if m[0] > i and m[1] > end and m[0] - m[2] >= chain[0][0] - chain[0][2] and m[0] <= chain[0][0] - chain[0][2] + licences.STRETCH * size:
+                follow([*chain, m], covered + min(m[2], m[0] - i, m[1] - end))
+
+    for m in found:
+        follow([m], m[2])
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(4, 60), st.integers(4, 12), st.integers(4, 9)), max_size=7))
+def test_chains_against_every_chain(matches):
+    matches = [(i, end, min(n, i, end)) for i, end, n in matches]
+    assert licences.Scanner._best(matches, 12)[0] == chains_by_hand(matches, 12)
+
+
+def test_licences_that_no_phrase_names():
+    s = licences._scanner()
+    rng = random.Random(2)
+    for label, template in licences.TEMPLATES.items():
+        words = template.split()
+        broken = [w if rng.random() > 0.04 else "changed" for w in words]
+        text = " ".join(["permission is hereby granted", *(f"z{k}" for k in range(500)), *broken, "tail"])
+        spans = {x[0]: x for x in s.scan(text.encode())[2]}
+        assert spans[label][3] > 0.7 and spans[label][1] >= 500
+
+
 def test_licences_of_documents(spark):
     got = {r["doc_id"]: r for r in licences.op2_suffix_automaton_licences(spark, SMALL).collect()}
     for d in rows(SMALL):
@@ -387,6 +435,19 @@ def test_codecs_round_trip(data):
     assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
 
 
+def test_media_digests_of_documents(spark):
+    got = {r["doc_id"]: r for r in tiff.op5_tiff(spark, SMALLER).collect()}
+    forms = Counter()
+    for d in rows(SMALLER):
+        text = (d["text"] or "").encode()
+        payload = text + b" " * (-len(text) % 192 or (0 if text else 192))
+        r, media = got[d["doc_id"]], tiff.stored_form(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        forms[re.search("codec=([a-z]+).*tiled=(.)", r["feature"]).groups()] += len(payload)
+    assert len(forms) == 4 and min(forms.values()) > 0.05 * sum(forms.values())
+
+
 def test_lzw_over_a_full_table():
     data = random.Random(9).randbytes(60_000)
     assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
