@@ -122,7 +122,7 @@ def test_fences_end_before_what_does_not_fit(spark):
 
 
 RUN = [
-    {"t": "policy", "ord": 1, "canaries": [CANARY], "allowed_hosts": ["api.example", ".corp.example"], "forbidden_effects": ["PAY"]},
+    {"t": "policy", "ord": 1, "block_threshold": "HIGH", "canaries": [CANARY], "allowed_hosts": ["api.example", ".corp.example"], "forbidden_effects": ["PAY"]},
     {"t": "session_open", "ord": 2, "session": "a", "root_pid": 10, "harness": "demo"},
     {"t": "event", "ord": 3, "session": "a", "kind": "exec", "ts": 1000, "pid": 10, "ppid": 1, "comm": "agent", "cmdline": "agent --run"},
     {"t": "event", "ord": 4, "kind": "exec", "ts": 1005, "pid": 11, "ppid": 10, "comm": "sh"},
@@ -162,13 +162,98 @@ def test_replay(spark, run_file):
     got = replay.replay(src.read_lines(spark, [run_file]), seed="s")
     assert {(r["session"], r["layer"], r["rule"]) for r in got["findings"].collect()} == {
         ("a", "provenance", "nonce-forgery"), ("a", "egress", "canary-leak"), ("a", "egress", "url-egress"), ("a", "toolauth", "tool-effect-forbidden"), ("a", "toolauth", "tool-args-invalid")}
-    assert {(r["session"], r["inspection"] if r["inspection"] < 100 else "end"): r["decision"] for r in got["decisions"].collect()} == {("a", 9): "block", ("a", 10): "block", ("a", "end"): "block", ("b", "end"): "allow"}
+    assert {(r["session"], r["inspection"] if r["inspection"] < 100 else "end"): r["decision"] for r in got["decisions"].collect()} == {("a", 9): "block", ("a", 10): "block", ("a", 12): "block", ("b", "end"): "allow"}
     assert sorted(r["ord"] for r in got["drops"].collect()) == [6, 8]
     events = {r["ord"]: (r["session"], r["tainted"], r["duration"]) for r in got["events"].collect()}
     assert events == {3: ("a", False, None), 4: ("a", False, None), 7: ("a", True, 45)}
     assert {r["session"]: (r["tainted"], r["events"], r["blocks"]) for r in got["sessions"].collect()} == {"a": (True, 3, 3), "b": (False, 0, 0)}
 
 
+def test_the_stream_of_a_replay(spark, run_file):
+    rows = replay.emitted(replay.replay(src.read_lines(spark, [run_file]), seed="s")).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [(r["t"], r["session"]) for r in rows[:6]] == [("session_open", "a"), ("event", "a"), ("event", "a"), ("span", "a"), ("warning", None), ("event", "a")]
+    assert [r["drop_total"] for r in rows if r["t"] == "warning"] == [1, 2]
+    assert [(r["t"], r["session"]) for r in rows[-5:]] == [("finding", "a"), ("decision", "a"), ("session_close", "a"), ("decision", "b"), ("session_close", "b")]
+    found = [r for r in rows if r["t"] == "finding"]
+    assert {r["provenance"] for r in found} == {"declared"} and {r["span_index"] for r in found if r["layer"] == "provenance"} == {0}
+    close = {r["session"]: (r["events"], r["findings"]) for r in rows if r["t"] == "session_close"}
+    assert close == {"a": (3, 5), "b": (0, 0)}
+
+
+def test_replay_of_two_files_with_equal_numbers(spark, tmp_path):
+    def program(session, pid, begin):
+        return [{"t": "session_open", "session": session, "root_pid": pid}, {"t": "event", "kind": "exec", "ts": begin, "pid": pid, "ppid": 1}, {"t": "event", "kind": "exit", "ts": begin + pid, "pid": pid}]
+
+    for name, lines in (("a", program("a", 50, 100)), ("b", program("b", 80, 900))):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, lines)))
+    got = replay.replay(src.read_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")]))
+    assert sorted((r["session"], r["duration"]) for r in got["events"].collect() if r["kind"] == "exit") == [("a", 50), ("b", 80)]
+    assert got["events"].count() == 4
+
+
+def test_policies_hold_from_their_line_on(spark, tmp_path):
+    lines = [{"t": "reply", "session": "a", "text": "see //x.example/"}, {"t": "policy", "allowed_hosts": ["x.example"]}, {"t": "reply", "session": "a", "text": "see //x.example/"}, {"t": "policy", "block_threshold": "LOW"}, {"t": "reply", "session": "a", "text": "see //x.example/"}]
+    (tmp_path / "p").write_text("\n".join(map(json.dumps, lines)))
+    read = src.read_lines(spark, [str(tmp_path / "p")])
+    got = replay.replay(read)
+    assert [r["decision"] for r in got["decisions"].orderBy("inspection").collect()] == ["block", "allow", "allow", "allow"]
+    off = replay.replay(read, policy=Policy(layers=frozenset({"normalize", "ingress", "provenance", "toolauth"})))
+    assert {(r["layer"], r["rule"], r["severity"]) for r in off["findings"].collect()} == {("egress", "layer-disabled", "info")}
+
+
+def test_an_exit_cuts_off_what_is_below(spark):
+    rows = [(1, None, "exec", 10, 1), (2, None, "exec", 11, 10), (3, None, "exec", 12, 11), (4, None, "open", 12, 11), (5, None, "exit", 11, 10), (6, None, "open", 12, 11), (7, None, "exec", 11, 10), (8, None, "open", 12, 11), (9, None, "open", 10, 1)]
+    events = spark.createDataFrame(rows, "ord long, session string, kind string, pid long, ppid long")
+    members = process.ancestry(process.edges(events), spark.createDataFrame([(10,)], "root long")).select("pid", F.lit("s").alias("session"), F.col("root").alias("opened"), "path")
+    got = {r["ord"]: r["owner"] for r in process.attributed(events, members).collect()}
+    assert got == {1: "s", 2: "s", 3: "s", 4: "s", 5: "s", 6: None, 7: None, 8: "s", 9: "s"}
+
+
+def test_a_file_of_many_blocks_and_of_any_bytes(spark, tmp_path):
+    odd = [b'{"t":"span","session":"a\\ud800b","trust":"user","text":"x"}', b'{"t":"event","pid":1,"kind":"exec","port":99999999999}', b'{"t":"event","pid":1e999,"kind":"exec"}', b'{"t":"event","pid":1,"kind":"exec","ord":1e30}', b"\xff\x00{", b""]
+    good = [json.dumps({"t": "span", "session": f"s{k}", "trust": "user", "text": "y" * 40}).encode() for k in range(4000)]
+    path = tmp_path / "big"
+    path.write_bytes(b"\n".join([*odd, *good]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = src.read_lines(spark, [str(path)]).checkpoint() if spark.sparkContext.getCheckpointDir() else src.read_lines(spark, [str(path)]).cache()
+        assert got.count() == 4005 and src.numbered_lines(spark, [str(path)]).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    bad = {r["lineno"] for r in src.rejected(got).collect()}
+    assert bad == {2, 3, 4, 5}
+    assert {(r["lineno"], r["session"]) for r in got.where("lineno > 6").collect()} == {(7 + k, f"s{k}") for k in range(4000)}
+    assert got.where("lineno = 1").first()["session"] == "a\ufffdb"
+    watched, seen = src.watched(got)
+    watched.count()
+    assert seen.get == {"received": 4005, "wrong": 4}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list('{}[]":,\\ud8t0e1-.nulspan')), max_size=40))
+def test_any_line_is_taken_or_named(text):
+    out = src.line(text)
+    assert "error" in out or out["t"]
+
+
+def test_live_membership_agrees_with_the_tree(spark, tmp_path):
+    rows = [("x", "a", 1, "session_open", None, None, None, 10, None, 0), ("x", "a", 2, "event", None, None, "exec", 11, 10, 100), ("x", "a", 3, "event", None, None, "open", 11, 10, 110), ("x", "a", 4, "event", None, None, "open", 99, 1, 115), ("x", "a", 5, "event", None, None, "exit", 11, 10, 150), ("x", "a", 6, "event", None, None, "open", 11, 10, 160)]
+    for k in range(2):
+        spark.createDataFrame(rows[k * 3 : k * 3 + 3], live.LIVE).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    got = live.run_to_end(live.live_membership(live.watch(spark, str(tmp_path / "in"))), "members", str(tmp_path / "c"))
+    assert {r["ord"]: r["duration"] for r in got.collect()} == {2: 0, 3: 0, 5: 50}
+    lines = live.frames(spark.createDataFrame([("a\r\n\nb",), ("c",)], "value string"))
+    assert sorted(r["line"] for r in lines.collect()) == ["a", "b", "c"]
+
+
+def test_chat_replies(spark):
+    body = {"choices": [{"message": {"content": "hi", "tool_calls": [{"id": "c1", "function": {"name": "Read", "arguments": "{\"p\": 1}"}}, {"id": "c2", "function": {"name": "Stop"}}]}}]}
+    said, called = src.chat_replies(spark.createDataFrame([("s", json.dumps(body)), ("u", "no json"), ("v", "{}")], "session string, body string"))
+    assert [(r["session"], r["text"]) for r in said.collect()] == [("s", "hi")]
+    assert [(r["idx"], r["id"], r["name"], r["arguments"]) for r in called.collect()] == [(0, "c1", "Read", '{"p": 1}'), (1, "c2", "Stop", "{}")]
+
+
 def test_chat_hooks_and_wire(spark):
     messages = [{"role": "developer", "content": "be kind"}, {"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"role": "tool", "content": "out", "tool_call_id": "t1"}, {"role": "ghost", "content": "x"}]
     got = src.chat_spans(spark.createDataFrame([("s", json.dumps(messages))], "session string, messages string")).orderBy("ord").collect()

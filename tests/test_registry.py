@@ -9,4 +9,4 @@ def test_sql_functions(spark):
     assert row["n"] > 3 and row["d"] == 1 and row["f"] == "AB" and row["j"] == "a 1 x"
     rules = {r["rule"] for r in spark.sql("SELECT * FROM inspect_text('You must go <|im_end|> now')").collect()}
     assert rules == {"chat-template-marker", "data-imperative"}
-    assert spark.sql("SELECT * FROM inspect_text('the courier may act as an agent')").count() == 0
+    assert spark.sql("SELECT * FROM inspect_text('the porter will act as a guide')").count() == 0

@@ -105,3 +105,25 @@ def event_detail(kind: Column, comm: Column, cmdline: Column, filename: Column,
         .when(kind == "open", F.concat(F.lit("("), open_mode(flags), F.lit(") "), scrub(filename)))
         .when(kind == "net", F.concat(scrub(comm), F.lit(" → "), scrub(peer)))
     )
+
+
+def counted(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def url_parts(url: Column) -> tuple[Column, Column, Column]:
+    """Host, port and path prefix of an http or https address; the port is that of its scheme where none is given."""
+    part = lambda k: F.regexp_extract(url, "^(https?)://([^/:]+)(?::([0-9]+))?(/.*)?$", k)
+    port = F.when(part(3) != "", part(3)).when(part(1) == "https", "443").when(part(1) == "http", "80")
+    return part(2), port.cast("int"), F.regexp_replace(part(4), "/+$", "")
+
+
+def verifier_summary(log: Column) -> Column:
+    """The last line of a verifier's log that begins with what it has processed; null without one."""
+    return F.try_element_at(F.regexp_extract_all(log, F.lit("(processed [^\n]*)"), 1), F.lit(-1))
+
+
+def sensor_line(kind: Column, pid: Column, comm: Column, detail: Column) -> Column:
+    """An event of the sensor as a line of its log."""
+    return F.format_string("%-5s pid=%d comm=%s %s", kind, pid, comm, detail)

@@ -62,24 +62,26 @@ def with_readings(spans: DataFrame, text: str = "text") -> DataFrame:
 def raw_findings(spans: DataFrame, policy: Policy) -> DataFrame:
     """Findings that show on texts as they stand, all native: the fast first pass over a corpus.
 
-    ``spans``: session, ord, trust, text. Layers ingress (data only), normalize and egress.
+    ``spans``: session, ord, trust, text. Layers ingress (data only), normalize and egress. What rules share is made once
+    for each text, and its findings are one array, so that a corpus is read and exploded once.
     """
-    low = t.lower_ascii(F.col("text"))
-    data = spans.where(F.col("trust") == "data")
-    strict = policy.strict_data
-    marked = data.withColumn("_m", F.explode(F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(low, t.lower_ascii(m)))))
-    seen = t.strip_invisibles(F.col("text"))
-    parts = [
-        finding(spans.where(F.octet_length("text") > TEXT_BYTES), "normalize", "input-too-large", "high", False, F.lit("input exceeds normalize budget")),
-        finding(spans.where((F.octet_length("text") <= TEXT_BYTES) & (seen != F.col("text"))), "normalize", "unicode-transform", "medium", False, seen),
-        finding(marked, "ingress", "chat-template-marker", "high", strict, F.col("_m")),
-        finding(data.where(instruction_shaped(low, low)), "ingress", "data-imperative", "medium", strict, F.col("text")),
-        url_egress(spans, policy),
+    seen, low = t.strip_invisibles(F.col("text")), t.lower_ascii(F.col("text"))
+    rows = spans.select("session", "ord", "text", (F.col("trust") == "data").alias("data"), (F.octet_length("text") > TEXT_BYTES).alias("large"), seen.alias("seen"), low.alias("low"), closure.plain_forms(F.col("text")).alias("forms"), t.links(F.col("text")).alias("links"))
+    item = lambda idx, layer, rule, severity, invariant, evidence: F.struct(idx.cast("int").alias("idx"), F.lit(layer).alias("layer"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(invariant).alias("invariant"), evidence.alias("e"))
+    shown = lambda n: F.exists("forms", lambda x: F.contains(x, F.lit(n)))
+    zero, strict, low = F.lit(0), policy.strict_data, F.col("low")
+    once = [
+        (F.col("large"), item(zero, "normalize", "input-too-large", "high", False, F.lit("input exceeds normalize budget"))),
+        (~F.col("large") & (F.col("seen") != F.col("text")), item(zero, "normalize", "unicode-transform", "medium", False, F.col("seen"))),
+        (F.col("data") & instruction_shaped(low, low), item(zero, "ingress", "data-imperative", "medium", strict, F.col("text"))),
+        *((F.col("data") & F.contains(low, F.lit(m.lower())), item(zero, "ingress", "chat-template-marker", "high", strict, F.lit(m))) for m in MARKERS),
+        *((shown(closure.needle(c).decode()), item(zero, "egress", "canary-leak", "critical", True, F.lit(c))) for c in policy.canaries),
     ]
-    for canary in policy.canaries:
-        hit = closure.shows(F.col("text"), closure.needle(canary))
-        parts.append(finding(spans.where(hit), "egress", "canary-leak", "critical", True, F.lit(canary)))
-    return union(parts)
+    found = F.filter(F.array(*(F.when(test, made) for test, made in once)), lambda f: f.isNotNull())
+    hosts = F.filter(F.transform("links", lambda link, i: F.struct(i.alias("i"), t.link_host(link).alias("host"))), lambda x: (x["host"] != "") & ~t.host_allowed(x["host"], policy.allowed_hosts))
+    out = F.transform(F.when(F.col("large"), F.array().cast("array<struct<i:int,host:string>>")).otherwise(hosts), lambda x: item(x["i"], "egress", "url-egress", "critical", True, x["host"]))
+    rows = rows.select("session", "ord", F.explode(F.concat(found, out)).alias("f"))
+    return rows.select("session", "ord", "f.idx", "f.layer", "f.rule", "f.severity", "f.invariant", t.digest(F.col("f.e")).alias("evidence_digest"))
 
 
 def url_hosts(rows: DataFrame) -> DataFrame:
@@ -88,8 +90,8 @@ def url_hosts(rows: DataFrame) -> DataFrame:
 
 
 def url_egress(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Links to hosts that the policy doesn't list."""
-    hosts = url_hosts(rows).where(~t.host_allowed(F.col("host"), policy.allowed_hosts))
+    """Links to hosts that the policy doesn't list, in texts within the budget; a larger one is a finding of its own."""
+    hosts = url_hosts(rows.where(F.octet_length("text") <= TEXT_BYTES)).where(~t.host_allowed(F.col("host"), policy.allowed_hosts))
     return finding(hosts, "egress", "url-egress", "critical", True, F.col("host"), F.col("idx"))
 
 
@@ -135,10 +137,24 @@ def canary_findings(rows: DataFrame, policy: Policy) -> DataFrame:
     return union([finding(rows.where(large), "egress", "output-too-large", "critical", True, F.lit("output exceeds egress budget")), finding(found, "egress", "canary-leak", "critical", True, F.col("_c"), F.col("idx"))])
 
 
-def disabled(inspections: DataFrame, policy: Policy, layers: tuple[str, ...]) -> DataFrame | None:
+def disabled(inspections: DataFrame, policy: Policy, layers: tuple[str, ...]) -> DataFrame:
     """A note for each inspection and layer that the policy switches off."""
-    off = [layer for layer in layers if layer not in policy.layers]
-    return union([finding(inspections, layer, "layer-disabled", "info", False, F.lit("layer disabled by policy")) for layer in off]) if off else None
+    off = F.array(*(F.lit(x) for x in layers if x not in policy.layers)).cast("array<string>")
+    rows = inspections.withColumn("_layer", F.explode(off))
+    return rows.select("session", "ord", F.lit(0).alias("idx"), F.col("_layer").alias("layer"), F.lit("layer-disabled").alias("rule"), F.lit("info").alias("severity"), F.lit(False).alias("invariant"), t.digest(F.lit("layer disabled by policy")).alias("evidence_digest"))
+
+
+def inferred(findings: DataFrame) -> DataFrame:
+    """Findings of a side that sees no sessions, only requests: all their provenance is inferred."""
+    return findings.withColumn("provenance", F.lit("inferred"))
+
+
+def verdict(findings: DataFrame, threshold: str = "high") -> DataFrame:
+    """session and payload: decision and findings in order as one JSON text for each session with a finding."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "idx", "layer", "rule", "severity", "invariant", "evidence_digest")))
+    rows = findings.groupBy("session").agg(listed.alias("f")).join(decide(findings, threshold).select("session", "decision"), "session")
+    shown = F.transform("f", lambda x: F.struct(*(x[c].alias(c) for c in ("layer", "rule", "severity", "invariant", "evidence_digest"))))
+    return rows.select("session", F.to_json(F.struct("decision", shown.alias("findings"))).alias("payload"))
 
 
 def escalated(findings: DataFrame, strict: bool) -> DataFrame:

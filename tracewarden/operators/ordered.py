@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Give checkpoint() the cluster's folder, or in tests one of our own."""
+    """Give checkpoint() the cluster's folder, or with a local master (as in tests) one of our own.
+
+    A cluster that names none is an error, since a folder of one machine would be lost with it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewarden-"))
 
 

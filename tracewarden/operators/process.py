@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lower_ascii
-from .ordered import shared_folder
+from .ordered import numbered, shared_folder
 
 
 def edges(events: DataFrame) -> DataFrame:
@@ -15,25 +15,55 @@ def edges(events: DataFrame) -> DataFrame:
     return execs.groupBy("pid").agg(F.max_by("ppid", "ord").alias("ppid"))
 
 
-def descendants(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(root, pid, depth) of all processes below each seed (root), itself included at depth 0.
+def ancestry(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, pid, depth, path) of all processes below each seed (root), itself included at depth 0; ``path`` leads
+    from the root's child to the process.
 
     Breadth first: each round joins only the processes found last and drops those known, so cycles and
     self-parents end. Rounds are as many as the tree is deep, whatever that is.
     """
     shared_folder(links.sparkSession)
     links = links.where("pid <> ppid").select(F.col("pid").alias("child"), "ppid").checkpoint()
-    known = edge = seeds.select(F.col("root"), F.col("root").alias("pid"), F.lit(0).alias("depth")).distinct().checkpoint()
+    start = seeds.select(F.col("root"), F.col("root").alias("pid"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"))
+    known = edge = start.distinct().checkpoint()
     most_parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     depth = 0
     while not edge.isEmpty():
         depth += 1
-        found = edge.join(links, edge["pid"] == links["ppid"]).select("root", F.col("child").alias("pid"), F.lit(depth).alias("depth")).distinct()
+        found = edge.join(links, edge["pid"] == links["ppid"]).select("root", F.col("child").alias("pid"), F.lit(depth).alias("depth"), F.array_append("path", F.col("child").cast("long")).alias("path"))
+        found = found.groupBy("root", "pid", "depth").agg(F.min("path").alias("path"))
         edge = found.join(known.select("root", "pid"), ["root", "pid"], "left_anti").checkpoint()
         known = known.unionByName(edge).coalesce(most_parts).checkpoint()
     return known
 
 
+def descendants(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, pid, depth) of ``ancestry``."""
+    return ancestry(links, seeds).select("root", "pid", "depth")
+
+
+def named_seeds(events: DataFrame, needle: str) -> DataFrame:
+    """Processes with an exec whose name begins with the needle, as seeds (root) for where no root is known."""
+    return events.where(F.col("kind") == "exec").where(name_matches(F.col("comm"), F.col("cmdline"), needle)).select(F.col("pid").alias("root")).distinct()
+
+
+def only(events: DataFrame, kinds: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Events of the given kinds, all if none are given, without the excluded ones; unknown names do nothing."""
+    rows = events.where(F.col("kind").isin(*kinds)) if kinds else events
+    return rows.where(~F.col("kind").isin(*excluded)) if excluded else rows
+
+
+def leaders(events: DataFrame) -> DataFrame:
+    """Events without exits of threads (``tid`` other than ``pid``)."""
+    return events.where((F.col("kind") != "exit") | (F.col("tid") == F.col("pid")))
+
+
+def argv(args: Column) -> Column:
+    """A command line from arguments: at most 40, each up to 255 characters, joined by blanks until over 256 are taken."""
+    step = lambda s, a: F.when(F.length(s) > 256, s).otherwise(F.concat(s, F.when(s == "", "").otherwise(" "), F.substring(a, 1, 255)))
+    return F.aggregate(F.slice(args, 1, 40), F.lit(""), step)
+
+
 def roots(nodes: DataFrame) -> DataFrame:
     """Nodes whose parent is unknown or themselves."""
     parents = nodes.select(F.col("pid").alias("ppid"))
@@ -43,9 +73,19 @@ def roots(nodes: DataFrame) -> DataFrame:
 
 def forest(nodes: DataFrame) -> DataFrame:
     """pid, root, depth of every node; nodes on a cycle are roots of their own at depth 0."""
-    below = descendants(nodes, roots(nodes).select(F.col("pid").alias("root")))
-    loose = nodes.join(below, "pid", "left_anti").select("pid", F.col("pid").alias("root"), F.lit(0).alias("depth"))
-    return below.select("pid", "root", "depth").unionByName(loose)
+    return _forest(nodes).select("pid", "root", "depth")
+
+
+def _forest(nodes: DataFrame) -> DataFrame:
+    below = ancestry(nodes, roots(nodes).select(F.col("pid").alias("root")))
+    loose = nodes.join(below, "pid", "left_anti").select("pid", F.col("pid").alias("root"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"))
+    return below.select("pid", "root", "depth", "path").unionByName(loose)
+
+
+def walk_order(nodes: DataFrame) -> DataFrame:
+    """pid, depth and place (from 1) of every node as a walk in depth meets them: roots and children by pid."""
+    rows = _forest(nodes).withColumn("way", F.concat(F.array(F.col("root").cast("long")), F.col("path")))
+    return numbered(rows, [F.col("way")], "place").select("pid", "depth", "place")
 
 
 def name_matches(comm: Column, cmdline: Column, needle: str) -> Column:
@@ -55,19 +95,27 @@ def name_matches(comm: Column, cmdline: Column, needle: str) -> Column:
     return F.startswith(lower_ascii(F.coalesce(comm, F.lit(""))), F.lit(low)) | F.startswith(lower_ascii(base), F.lit(low))
 
 
-def _alive(events: DataFrame) -> Column:
-    """The latest exec or exit of the pid before this row isn't an exit."""
-    before = Window.partitionBy("pid").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind").isin("exec", "exit"), F.col("kind")), ignorenulls=True).over(before)
-    return F.coalesce(last != "exit", F.lit(True))
+def gone(events: DataFrame) -> DataFrame:
+    """(pid, since, until): from each exit of a pid to its next exec (null: for good)."""
+    after = Window.partitionBy("pid").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    rows = events.where(F.col("kind").isin("exec", "exit")).withColumn("until", F.first(F.when(F.col("kind") == "exec", F.col("ord")), ignorenulls=True).over(after))
+    return rows.where("kind = 'exit'").select("pid", F.col("ord").alias("since"), "until")
 
 
 def attributed(events: DataFrame, members: DataFrame) -> DataFrame:
-    """``events`` with ``owner``: the session named by the event, else the first open one whose tree has the
-    pid (``members``: pid, session, opened), unless the process has exited. Null: owned by none."""
-    first = members.groupBy("pid").agg(F.min_by("session", F.struct("opened", "session")).alias("_tree"))
-    rows = events.withColumn("_alive", _alive(events)).join(first, "pid", "left")
-    return rows.withColumn("owner", F.coalesce("session", F.when(F.col("_alive"), F.col("_tree")))).drop("_alive", "_tree")
+    """``events`` with ``owner``: the session named by the event, else the first open one in whose tree the pid is
+    (``members``: pid, session, opened and, as from ``ancestry``, path). Null: owned by none.
+
+    An exit takes the process out of its tree until its next exec, and cuts off all below it; roots always belong.
+    """
+    rows = events.withColumn("_row", F.struct("ord", "pid"))
+    free = rows.where("session IS NULL").select("ord", "pid", "_row")
+    claims = free.join(members.select("pid", F.col("session").alias("_tree"), "opened", "path"), "pid")
+    lost = gone(events).select(F.col("pid").alias("_up"), "since", "until")
+    above = claims.select("_row", "_tree", "ord", F.explode("path").alias("_up")).join(lost, "_up").where((F.col("ord") > F.col("since")) & (F.col("ord") <= F.coalesce("until", F.lit((1 << 63) - 1))))
+    sound = claims.join(above.select("_row", "_tree").distinct(), ["_row", "_tree"], "left_anti")
+    first = sound.groupBy("_row").agg(F.min_by("_tree", F.struct("opened", "_tree")).alias("_tree"))
+    return rows.join(first, "_row", "left").withColumn("owner", F.coalesce("session", "_tree")).drop("_row", "_tree")
 
 
 def durations(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import closure
 from ..functions import text as t
 from ..operators import findings as fi
 from ..operators import ordered, process, sessions, tools
-from ..policy import RING, VIEW_EVENTS
+from ..policy import RING, VIEW_EVENTS, VIEW_FINDINGS, Policy
+from ..sources import lines
 from . import inputs, stream
 
 UP, LOW = t.UPPER, t.LOWER
@@ -62,13 +65,13 @@ args AS (
   UNION ALL SELECT call_id, 2, 'extra', 'x' FROM v_calls WHERE call_id % 7 = 0)"""
 _HOST = "regexp_replace(regexp_extract(link, '^(?:https:|http:)?//([^/?# )\\]>\"'']*)', 1), '^[^@]*@', '')"
 HOSTS = f"""links AS (
-  SELECT session, ord, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS idx
-  FROM (SELECT session, ord, regexp_extract_all(text, '(?:https:|http:)?//[^\\s)\\]>\"''`]*') AS l FROM v_attacks)),
+  SELECT session, ord, small, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS idx
+  FROM (SELECT session, ord, strlen(text) <= 65536 AS small, regexp_extract_all(text, '(?:https:|http:)?//[^\\s)\\]>\"''`]*') AS l FROM v_attacks)),
 hosts AS (
-  SELECT session, ord, CAST(idx AS INTEGER) AS idx, {_low("CASE WHEN h LIKE '[%' THEN h ELSE split_part(h, ':', 1) END")} AS host
-  FROM (SELECT session, ord, idx, {_HOST} AS h FROM links)),
+  SELECT session, ord, small, CAST(idx AS INTEGER) AS idx, {_low("CASE WHEN h LIKE '[%' THEN h ELSE split_part(h, ':', 1) END")} AS host
+  FROM (SELECT session, ord, small, idx, {_HOST} AS h FROM links)),
 outside AS (
-  SELECT * FROM hosts WHERE host <> '' AND NOT (host = 'api.example' OR host = 'corp.example' OR host LIKE '%.corp.example'))"""
+  SELECT * FROM hosts WHERE host <> '' AND small AND NOT (host = 'api.example' OR host = 'corp.example' OR host LIKE '%.corp.example'))"""
 _CANARY = closure.needle(inputs.CANARY).decode()
 _PLAIN = f"{_low(_NOISE.format(c='text'))}"
 _IMPERATIVE = f"(({_any('l', fi.SECOND_PERSON)}) OR ({_any('l', fi.IMPERATIVES)} AND {_any('l', fi.TARGETS)} AND NOT {_any('l', ('my ', 'our '))}))"
@@ -179,15 +182,18 @@ def strip_invisibles(spark, sf_dir):
     return _attack_spans(spark, sf_dir).select("ord", seen.alias("seen"), (F.octet_length("text") - F.octet_length(seen)).cast("long").alias("dropped_bytes"))
 
 
-@query("SELECT ord, replace(replace(text || chr(27) || '[0m' || chr(7), chr(10), '\\x0a'), chr(27), '\\x1b').replace(chr(7), '\\x07') AS clean FROM v_attacks WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}]')", ATTACKS)
+def _spelt(column: str) -> str:
+    return reduce(lambda x, b: f"replace({x}, chr({b}), '\\x{b:02x}')", [b for b in t.UNPRINTABLE if b], column)
+
+
+@query(f"SELECT ord, {_spelt(chr(116) + 'ext || chr(27) || chr(7) || chr(133)')} AS clean FROM v_attacks", ATTACKS)
 def scrub(spark, sf_dir):
-    rows = _attack_spans(spark, sf_dir).where(~F.col("text").rlike("[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]"))
-    return rows.select("ord", t.scrub(F.concat("text", F.lit("\x1b[0m\x07"))).alias("clean"))
+    return _attack_spans(spark, sf_dir).select("ord", t.scrub(F.concat("text", F.lit("\x1b\x07\x85"))).alias("clean"))
 
 
-@query("SELECT ord, replace(replace(replace(replace(replace(replace(text, chr(10), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM v_attacks", ATTACKS)
+@query(f"SELECT ord, replace(replace(replace(replace(replace({_spelt('text')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM v_attacks", ATTACKS)
 def html_safe(spark, sf_dir):
-    return _attack_spans(spark, sf_dir).select("ord", t.html_safe(F.replace("text", F.lit("\n"), F.lit(""))).alias("html"))
+    return _attack_spans(spark, sf_dir).select("ord", t.html_safe(F.col("text")).alias("html"))
 
 
 @query("SELECT session, ord, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=%]{8,}')) AS run FROM v_attacks", ATTACKS)
@@ -195,18 +201,27 @@ def embedded_runs(spark, sf_dir):
     return _attack_spans(spark, sf_dir).select("session", "ord", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9+/=%]{8,})"), 1)).alias("run"))
 
 
-@query("SELECT doc_id, source AS plain, 1 AS depth FROM documents WHERE strlen(source) >= 4")
+_CODED = """SELECT doc_id, sha256(substr(text, 1, 1 << 30)) AS plain, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS depth FROM documents
+WHERE strlen(text) BETWEEN 8 AND 16384 AND NOT contains(text, '%') AND NOT contains(text, '=') AND NOT regexp_full_match(text, '[A-Za-z0-9+/=]*') AND strlen(text) = length(text)"""
+
+
+def _coded(spark, sf_dir, code):
+    """Whole texts of ASCII alone that are no code themselves, coded once or, each third one, twice."""
+    text = F.col("text")
+    rows = inputs.read(spark, sf_dir, "documents").where(F.octet_length(text).between(8, 16384) & ~F.contains(text, F.lit("%")) & ~F.contains(text, F.lit("=")) & ~text.rlike("^[A-Za-z0-9+/=]*$") & (F.octet_length(text) == F.length(text)))
+    once = code(F.encode(text, "UTF-8"))
+    rows = rows.select("doc_id", closure.unwrapped(F.when(F.col("doc_id") % 3 == 0, code(F.encode(once, "UTF-8"))).otherwise(once)).alias("u"))
+    return rows.select("doc_id", F.sha2("u.text", 256).alias("plain"), F.col("u.depth").alias("depth"))
+
+
+@query(_CODED)
 def peel_base64_wellformed(spark, sf_dir):
-    rows = inputs.read(spark, sf_dir, "documents").where(F.octet_length("source") >= 4)
-    rows = rows.select("doc_id", closure.unwrapped(F.base64(F.encode("source", "UTF-8"))).alias("u"))
-    return rows.select("doc_id", F.decode("u.text", "UTF-8").alias("plain"), F.col("u.depth").alias("depth"))
+    return _coded(spark, sf_dir, lambda c: F.replace(F.base64(c), F.lit("\r\n"), F.lit("")))
 
 
-@query("SELECT doc_id, 'id:' || lpad(CAST(doc_id AS VARCHAR), 15, '0') || '!' AS plain, 1 AS depth FROM documents")
+@query(_CODED)
 def peel_hex_wellformed(spark, sf_dir):
-    code = F.hex(F.encode(F.concat(F.lit("id:"), F.lpad(F.col("doc_id").cast("string"), 15, "0"), F.lit("!")), "UTF-8"))
-    rows = inputs.read(spark, sf_dir, "documents").select("doc_id", closure.unwrapped(code).alias("u"))
-    return rows.select("doc_id", F.decode("u.text", "UTF-8").alias("plain"), F.col("u.depth").alias("depth"))
+    return _coded(spark, sf_dir, F.hex)
 
 
 @query(f"SELECT ord, {_IMPERATIVE} AS shaped FROM (SELECT ord, {_low('text')} AS l FROM v_attacks)", ATTACKS)
@@ -253,9 +268,9 @@ def deciding_finding(spark, sf_dir):
 
 @query(f"""SELECT threshold, count(*) FILTER (decision = 'block') AS blocks FROM (
   SELECT session, threshold, CASE WHEN coalesce(max({_RANK}), -1) >= threshold THEN 'block' ELSE 'allow' END AS decision
-  FROM (SELECT * FROM findings WHERE layer <> 'egress'), (SELECT CAST(range AS INTEGER) AS threshold FROM range(1, 5)) GROUP BY session, threshold) GROUP BY threshold""", FINDINGS)
+  FROM findings, (SELECT CAST(range AS INTEGER) AS threshold FROM range(1, 5)) GROUP BY session, threshold) GROUP BY threshold""", FINDINGS)
 def policy_threshold_sweep(spark, sf_dir):
-    scored = _findings(spark, sf_dir).where("layer <> 'egress'").groupBy("session").agg(F.max(fi.rank(F.col("severity"))).alias("top"))
+    scored = _findings(spark, sf_dir).groupBy("session").agg(F.max(fi.rank(F.col("severity"))).alias("top"))
     return scored.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("threshold"), "top").groupBy("threshold").agg(F.count_if(F.col("top") >= F.col("threshold")).alias("blocks"))
 
 
@@ -342,14 +357,22 @@ def exec_exit_duration(spark, sf_dir):
 def _attributed(spark, sf_dir):
     events = inputs.kernel_events(spark, sf_dir)
     seeds = spark.range(1, 5).withColumnRenamed("id", "root")
-    members = process.descendants(process.edges(events), seeds).select("pid", F.concat(F.lit("s"), (F.col("root") - 1).cast("string")).alias("session"), F.col("root").alias("opened"))
+    members = process.ancestry(process.edges(events), seeds).select("pid", F.concat(F.lit("s"), (F.col("root") - 1).cast("string")).alias("session"), F.col("root").alias("opened"), "path")
     return process.attributed(events, members)
 
 
-_OWNED = f"""{KEV}, {_EDGES}, seeds AS (SELECT CAST(range AS BIGINT) AS pid FROM range(1, 5)), {_TREE},
-members AS (SELECT pid, arg_min('s' || (root - 1), root) AS tree FROM down GROUP BY pid),
-lived AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('exec', 'exit') THEN kind END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <> 'exit', true) AS alive FROM v_kev),
-owned AS (SELECT ord, pid, coalesce(session, CASE WHEN alive THEN tree END) AS owner FROM lived LEFT JOIN members USING (pid))"""
+_OWNED = f"""{KEV}, {_EDGES},
+down AS (
+  SELECT CAST(range AS BIGINT) AS root, CAST(range AS BIGINT) AS pid, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM range(1, 5)
+  UNION ALL SELECT root, e.pid, depth + 1, list_append(path, e.pid) FROM down JOIN edges e ON e.ppid = down.pid AND e.pid <> e.ppid WHERE depth < 64),
+gone AS (SELECT pid, ord AS since, until FROM (
+  SELECT *, first_value(CASE WHEN kind = 'exec' THEN ord END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until
+  FROM v_kev WHERE kind IN ('exec', 'exit')) WHERE kind = 'exit'),
+claims AS (SELECT e.ord, d.root, d.path FROM v_kev e JOIN down d USING (pid) WHERE e.session IS NULL),
+above AS (SELECT ord, root, unnest(path) AS up FROM claims),
+cut AS (SELECT DISTINCT a.ord, a.root FROM above a JOIN gone g ON g.pid = a.up AND a.ord > g.since AND a.ord <= coalesce(g.until, 9223372036854775807)),
+trees AS (SELECT ord, 's' || (min(root) - 1) AS tree FROM claims ANTI JOIN cut USING (ord, root) GROUP BY ord),
+owned AS (SELECT e.ord, e.pid, coalesce(e.session, t.tree) AS owner FROM v_kev e LEFT JOIN trees t USING (ord))"""
 
 
 @query("SELECT * FROM owned WHERE owner IS NOT NULL", _OWNED)
@@ -409,9 +432,18 @@ def seq_dedup(spark, sf_dir):
     return _arrived(spark, sf_dir)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS errors, count(*) FILTER (duplicate) AS duplicates, max(seq) FILTER (NOT duplicate) AS last_seq FROM marked", _ARRIVED)
+def _fault():
+    return F.when(F.col("arrival") % 29 == 3, F.concat(F.lit("no such line: "), F.col("arrival").cast("string")))
+
+
+@query("SELECT count(*) FILTER (arrival % 29 = 3) AS errors, count(*) FILTER (duplicate) AS duplicates, max(seq) FILTER (NOT duplicate) AS last_seq FROM marked", _ARRIVED)
 def protocol_state(spark, sf_dir):
-    return stream.protocol(_arrived(spark, sf_dir).withColumn("error", F.lit(None).cast("string")))
+    return stream.protocol(_arrived(spark, sf_dir).withColumn("error", _fault()))
+
+
+@query("SELECT arrival, 'no such line: ' || arrival AS error FROM arrived WHERE arrival % 29 = 3 ORDER BY arrival DESC LIMIT 5", _ARRIVED)
+def last_errors(spark, sf_dir):
+    return stream.last_errors(_arrived(spark, sf_dir).withColumn("error", _fault()), "arrival")
 
 
 _MODE = "CASE flags & 3 WHEN 1 THEN 'w' WHEN 2 THEN 'rw' ELSE 'r' END || CASE WHEN flags & 64 <> 0 THEN '+' ELSE '' END"
@@ -498,9 +530,116 @@ def env_list(spark, sf_dir):
     return inputs.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(entries).alias("entry"))
 
 
-@query("SELECT event_id, strftime(make_timestamp(event_id * 7001 * 1000), '%H:%M:%S.%g') AS clock FROM events WHERE event_id > 0")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '—' ELSE strftime(make_timestamp(event_id * 7001 * 1000), '%H:%M:%S.%g') END AS clock FROM events WHERE event_id >= 0")
 def clock(spark, sf_dir):
-    return inputs.read(spark, sf_dir, "events").where("event_id > 0").select("event_id", t.clock(F.col("event_id") * 7001).alias("clock"))
+    ms = F.when(F.col("event_id") % 5 == 0, -F.col("event_id")).otherwise(F.col("event_id") * 7001)
+    return inputs.read(spark, sf_dir, "events").where("event_id >= 0").select("event_id", t.clock(ms).alias("clock"))
+
+
+@query("SELECT event_id, format('{:,}', event_id * 7001) AS shown FROM events")
+def count_format(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "events").select("event_id", t.counted(F.col("event_id") * 7001).alias("shown"))
+
+
+@query("""SELECT event_id, 'h' || user_id || '.example' AS host, CAST(CASE event_id % 3 WHEN 0 THEN 8000 + event_id % 9 WHEN 1 THEN 443 ELSE 80 END AS INTEGER) AS port, CASE WHEN event_id % 2 = 0 THEN '/v1/' || event_type ELSE '' END AS prefix FROM events""")
+def upstream_parts(spark, sf_dir):
+    e = F.col("event_id")
+    scheme = F.when(e % 3 == 2, "http").otherwise("https")
+    port = F.when(e % 3 == 0, F.concat(F.lit(":"), (e % 9 + 8000).cast("string"))).otherwise("")
+    path = F.when(e % 2 == 0, F.concat(F.lit("/v1/"), "event_type", F.lit("/"))).when(e % 5 == 0, "/").otherwise("")
+    url = F.concat(scheme, F.lit("://h"), F.col("user_id").cast("string"), F.lit(".example"), port, path)
+    host, number, prefix = t.url_parts(url)
+    return inputs.read(spark, sf_dir, "events").select("event_id", host.alias("host"), number.alias("port"), prefix.alias("prefix"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'processed ' || doc_id || ' insns' END AS summary FROM documents WHERE NOT contains(text, 'processed ')")
+def verifier_summary(spark, sf_dir):
+    log = F.concat("text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("\nprocessed 1 insns\nprocessed "), F.col("doc_id").cast("string"), F.lit(" insns\n"))))
+    return inputs.read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("processed "))).select("doc_id", t.verifier_summary(log).alias("summary"))
+
+
+@query("SELECT ord, rpad(kind, 5, ' ') || ' pid=' || pid || ' comm=' || comm || ' flags ' || flags AS line FROM v_kev", KEV)
+def sensor_lines(spark, sf_dir):
+    detail = F.concat(F.lit("flags "), F.col("flags").cast("string"))
+    return inputs.kernel_events(spark, sf_dir).select("ord", t.sensor_line(F.col("kind"), F.col("pid"), F.col("comm"), detail).alias("line"))
+
+
+@query("SELECT ord, kind FROM v_kev WHERE kind IN ('exec', 'open')", KEV)
+def class_filter(spark, sf_dir):
+    return process.only(inputs.kernel_events(spark, sf_dir), ("exec", "open", "exit"), ("exit", "ghost")).select("ord", "kind")
+
+
+@query("SELECT ord FROM v_kev WHERE kind <> 'exit' OR ord % 3 = 0", KEV)
+def leader_exits(spark, sf_dir):
+    events = inputs.kernel_events(spark, sf_dir).withColumn("tid", F.when(F.col("ord") % 3 == 0, F.col("pid")).otherwise(F.col("pid") + 1))
+    return process.leaders(events).select("ord")
+
+
+@query("SELECT conv_id, turn, array_to_string(list_slice(regexp_split_to_array(substr(text, 1, 200), ' '), 1, 40), ' ') AS cmdline FROM conversations WHERE text IS NOT NULL AND NOT starts_with(text, ' ')")
+def argv_join(spark, sf_dir):
+    args = F.split(F.substring("text", 1, 200), " ")
+    return inputs.read(spark, sf_dir, "conversations").where("text IS NOT NULL AND text NOT LIKE ' %'").select("conv_id", "turn", process.argv(args).alias("cmdline"))
+
+
+@query("SELECT root, pid, min(depth) AS depth FROM down GROUP BY root, pid", f"{KEV}, {_EDGES}, seeds AS (SELECT DISTINCT pid FROM v_kev WHERE kind = 'exec' AND starts_with(comm, 'p3')), {_TREE}")
+def needle_descendants(spark, sf_dir):
+    events = inputs.kernel_events(spark, sf_dir)
+    return process.descendants(process.edges(events), process.named_seeds(events.withColumn("cmdline", F.lit("")), "P3"))
+
+
+@query("""SELECT pid, depth, row_number() OVER (ORDER BY way) AS place FROM (
+  SELECT pid, depth, way FROM walk WHERE depth = (SELECT min(depth) FROM walk w WHERE w.pid = walk.pid AND w.way[1] = walk.way[1]))""", f"""{KEV}, nodes AS (SELECT pid, arg_max(ppid, ord) AS ppid FROM v_kev GROUP BY pid),
+walk AS (
+  SELECT pid, 0 AS depth, [pid] AS way FROM nodes WHERE ppid NOT IN (SELECT pid FROM nodes) OR pid = ppid
+  UNION ALL SELECT n.pid, depth + 1, list_append(way, n.pid) FROM walk JOIN nodes n ON n.ppid = walk.pid AND n.pid <> n.ppid WHERE depth < 64)""")
+def forest_walk(spark, sf_dir):
+    nodes = inputs.kernel_events(spark, sf_dir).groupBy("pid").agg(F.max_by("ppid", "ord").alias("ppid"))
+    return process.walk_order(nodes)
+
+
+@query("SELECT session, root_pid, row_number() OVER (ORDER BY root_pid, session) AS place FROM (SELECT session, min(pid) AS root_pid FROM v_kev WHERE session IS NOT NULL GROUP BY session)", KEV)
+def session_order(spark, sf_dir):
+    rows = inputs.kernel_events(spark, sf_dir).where("session IS NOT NULL").groupBy("session").agg(F.min("pid").alias("root_pid"))
+    return ordered.numbered(rows, [F.col("root_pid"), F.col("session")], "place")
+
+
+@query("SELECT session, dense_rank() OVER (ORDER BY first) AS place FROM (SELECT session, min(ord) AS first FROM v_kev WHERE session IS NOT NULL GROUP BY session)", KEV)
+def first_seen_order(spark, sf_dir):
+    rows = inputs.kernel_events(spark, sf_dir).where("session IS NOT NULL").groupBy("session").agg(F.min("ord").alias("first"))
+    return ordered.numbered(rows, [F.col("first")], "place").select("session", "place")
+
+
+@query("SELECT session, ord, idx, layer, rule FROM findings ORDER BY ord DESC, idx DESC, layer DESC, rule DESC, evidence_digest DESC LIMIT 1000", FINDINGS)
+def findings_view(spark, sf_dir):
+    order = [F.desc(c) for c in ("ord", "idx", "layer", "rule", "evidence_digest")]
+    return _findings(spark, sf_dir).orderBy(*order).limit(VIEW_FINDINGS).select("session", "ord", "idx", "layer", "rule")
+
+
+@query("""SELECT f.session, to_json({'decision': any_value(decision), 'findings': list({'layer': layer, 'rule': rule, 'severity': severity, 'invariant': invariant, 'evidence_digest': evidence_digest} ORDER BY ord, idx, layer, rule, severity, invariant, evidence_digest)})::VARCHAR AS payload
+FROM findings f JOIN decided USING (session) GROUP BY f.session""", f"{FINDINGS}, {DECIDED.format(threshold=3)}")
+def verdict_payload(spark, sf_dir):
+    return fi.verdict(_findings(spark, sf_dir))
+
+
+@query("SELECT provenance, layer, severity, count(*) AS n FROM (SELECT 'inferred' AS provenance, * FROM findings) GROUP BY ALL", FINDINGS)
+def inferred_provenance(spark, sf_dir):
+    return stream.provenance_split(fi.inferred(_findings(spark, sf_dir)))
+
+
+@query("""SELECT 'c' || conv_id AS session, turn AS idx, 'call' || turn AS id, role AS name, '{"n":' || turn || '}' AS arguments FROM conversations""")
+def reply_calls(spark, sf_dir):
+    rows = inputs.read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").cast("int").alias("turn"), "role")
+    call = F.struct(F.concat(F.lit("call"), F.col("turn").cast("string")).alias("id"), F.struct(F.col("role").alias("name"), F.concat(F.lit('{"n":'), F.col("turn").cast("string"), F.lit("}")).alias("arguments")).alias("function"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("x").alias("content"), F.array(call).alias("tool_calls")).alias("message"))).alias("choices")))
+    _, calls = lines.chat_replies(rows.select(F.struct("session", "turn").alias("s"), body.alias("body")), session="s")
+    return calls.select("session.session", F.col("session.turn").alias("idx"), "id", "name", "arguments")
+
+
+@query(f"""SELECT 'layer-disabled' AS rule, layer, count(*) AS n FROM v_spans, (SELECT unnest(['normalize', 'provenance']) AS layer) GROUP BY layer""", SPANS)
+def disabled_layers(spark, sf_dir):
+    off = Policy(layers=frozenset(("ingress", "toolauth", "egress")))
+    found = fi.disabled(inputs.spans(spark, sf_dir).select("session", "ord"), off, ("normalize", "ingress", "provenance"))
+    return found.groupBy("rule", "layer").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import findings as fi
 from ..operators import process, tools
-from ..operators.ordered import shared_folder
+from ..operators.ordered import numbered, shared_folder
 from ..operators.sessions import tainted, valid_spans
-from ..policy import Policy
+from ..policy import LAYERS, Policy
+
+#: Where sessions that nothing closes are inspected: after every line.
+END = 1 << 62
+INBOUND, OUTBOUND = LAYERS[:3], LAYERS[3:]
+_BLANK = "array<string>"
 
-CALL = "session string, ord long, name string, known boolean, user_confirmed boolean, args array<struct<k:string,v:string>>, permitted array<string>, required array<string>, allow array<string>, effects array<string>, guards array<string>"
 
+def policies(lines: DataFrame, default: Policy | None = None) -> list[tuple[int, Policy]]:
+    """Policies with the place (``ord``) from which each holds, the first from 0. A line changes what it names.
 
-def policy_of(lines: DataFrame, default: Policy | None = None) -> Policy:
-    """The last policy line's policy. One row comes to the driver."""
-    row = lines.where("t = 'policy'").orderBy(F.desc("ord"), F.desc("file"), F.desc("lineno")).first()
-    if row is None:
-        return default or Policy()
-    known = {k: row[k] for k in ("block_threshold", "strict_data") if row[k] is not None}
-    return Policy(**known, **{k: tuple(row[k] or ()) for k in ("canaries", "allowed_hosts", "forbidden_effects")})
+    Policy lines come to the driver: they are written by hand.
+    """
+    names = ("canaries", "allowed_hosts", "forbidden_effects")
+    out = [(0, default or Policy())]
+    for row in lines.where("t = 'policy'").orderBy("ord").select("ord", "block_threshold", "strict_data", *names).collect():
+        last = out[-1][1]
+        held = {k: row[k] if row[k] is not None else getattr(last, k) for k in ("block_threshold", "strict_data")}
+        out.append((row["ord"], Policy(**held, **{k: tuple(row[k] if row[k] is not None else getattr(last, k)) for k in names}, layers=last.layers)))
+    return out
 
 
 def nonces(lines: DataFrame, seed: str) -> DataFrame:
@@ -30,45 +40,98 @@ def nonces(lines: DataFrame, seed: str) -> DataFrame:
     return known.select("session", t.digest(F.concat(F.lit(seed), "session")).alias("nonce"))
 
 
+def _calls(replies: DataFrame) -> DataFrame:
+    """Tool calls inside replies, as lines of their own would give them."""
+    kind = "name string, known boolean, user_confirmed boolean, args map<string,string>, permitted array<string>, required array<string>, allow array<string>, effects array<string>, guards array<string>"
+    inner = replies.select("session", "ord", F.explode(F.transform("tool_calls", lambda c: F.from_json(c, kind))).alias("c"))
+    args = F.transform(F.map_entries("c.args"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    lists = [F.coalesce(f"c.{a}", F.array().cast(_BLANK)).alias(a) for a in ("permitted", "required", "allow", "effects", "guards")]
+    return inner.select("session", "ord", "c.name", F.coalesce("c.known", F.lit(True)).alias("known"), F.coalesce("c.user_confirmed", F.lit(False)).alias("user_confirmed"), F.coalesce(args, none).alias("args"), *lists)
+
+
 def replay(lines: DataFrame, seed: str = "", policy: Policy | None = None) -> dict[str, DataFrame]:
     """Tables of a run: spans, events, drops, findings (with ``inspection``: the place of the line that was inspected),
-    decisions for each inspection, and sessions.
+    decisions for each inspection, and sessions. ``ord`` is everywhere the place of a line in the whole run.
 
-    ``lines`` are good lines as ``sources.lines.read_lines`` gives them. Sessions that are never closed are
-    inspected at the end like others. The policy is the run's last one.
+    ``lines`` are good lines as ``sources.lines.read_lines`` gives them, in order of (ord, file, lineno). A closing line
+    inspects all spans of its session, sessions that are never closed are inspected at the end. Each inspection goes by the
+    policy that holds at its place; with ``policy`` all go by that one.
     """
     shared_folder(lines.sparkSession)
-    lines = lines.where("error IS NULL").checkpoint()
-    rule = policy or policy_of(lines)
+    placed = numbered(lines.where("error IS NULL"), [F.col(c) for c in ("ord", "file", "lineno")], "at")
+    lines = placed.drop("ord").withColumnRenamed("at", "ord").checkpoint()
+    rules = [(0, policy)] if policy else policies(lines)
     names = nonces(lines, seed)
-    end = 1 << 62
     spans = valid_spans(lines.where("t = 'span'")).join(names, "session").withColumn("text", F.replace("text", F.lit("{{nonce}}"), F.col("nonce"))).select("session", "ord", "trust", "role", "channel", "ref", "text", "nonce")
-    opened = lines.where("t IN ('session_open', 'event', 'reply', 'tool_call') AND session IS NOT NULL").groupBy("session").agg(F.min("ord").alias("opened"), F.max("root_pid").alias("root"))
+    spans = numbered(spans, [F.col("session"), F.col("ord")], "_n")
+    begun = spans.groupBy("session").agg(F.min("_n").alias("_b"))
+    spans = spans.join(begun, "session").withColumn("span_index", (F.col("_n") - F.col("_b")).cast("int")).drop("_n", "_b").checkpoint()
+    opened = lines.where("t <> 'policy' AND session IS NOT NULL").groupBy("session").agg(F.min("ord").alias("opened"), F.max("root_pid").alias("root"), F.max(F.when(F.col("t") == "session_open", F.col("harness"))).alias("harness"))
     raw = lines.where("t = 'event'").select("session", "ord", "kind", "ts", "pid", "ppid", "comm", "cmdline", "filename", "flags", "dirfd", "port", "addr")
-    below = process.descendants(process.edges(raw), opened.where("root IS NOT NULL").select("root"))
-    members = below.join(opened, "root").select("pid", "session", "opened")
-    owned = process.attributed(raw, members)
+    below = process.ancestry(process.edges(raw), opened.where("root > 0").select("root").distinct())
+    members = below.join(opened, "root").select("pid", "session", "opened", "path")
+    owned = process.attributed(raw, members).checkpoint()
     drops = owned.where("owner IS NULL").drop("owner")
     events = tainted(owned.where("owner IS NOT NULL").drop("session").withColumnRenamed("owner", "session"), spans, inclusive=False)
     events = events.join(process.durations(raw).select("ord", "duration"), "ord", "left")
 
-    # Closing inspects all spans; a tool call and a reply are inspected by themselves.
-    read = fi.with_readings(spans)
-    closing = fi.union([fi.normalize_findings(spans), fi.ingress_findings(read, rule), fi.nonce_findings(read)]).withColumn("inspection", F.lit(end))
+    closed = lines.where("t = 'session_close'").groupBy("session").agg(F.max("ord").alias("closed"))
+    closing = names.select("session").join(closed, "session", "left").select("session", F.coalesce("closed", F.lit(END)).alias("inspection"))
     calls = lines.where("t = 'tool_call'").select("session", "ord", "name", "known", "user_confirmed", "args", "permitted", "required", "allow", "effects", "guards")
     replies = lines.where("t = 'reply'").select("session", "ord", "text", "tool_calls")
-    inner = replies.select("session", "ord", F.explode(F.transform("tool_calls", lambda c: F.from_json(c, "name string, known boolean, user_confirmed boolean, args map<string,string>, permitted array<string>, required array<string>, allow array<string>, effects array<string>, guards array<string>"))).alias("c"))
-    blank = F.array().cast("array<string>")
-    arrays = ["permitted", "required", "allow", "effects", "guards"]
-    inner = inner.select("session", "ord", "c.name", F.coalesce("c.known", F.lit(True)).alias("known"), F.coalesce("c.user_confirmed", F.lit(False)).alias("user_confirmed"), F.coalesce(F.transform(F.map_entries("c.args"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>")).alias("args"), *(F.coalesce(f"c.{a}", blank).alias(a) for a in arrays))
-    all_calls = tainted(calls.unionByName(inner), spans, inclusive=False)
+    all_calls = tainted(calls.unionByName(_calls(replies)), spans, inclusive=False)
     outgoing = replies.select("session", "ord", "text").unionByName(all_calls.select("session", "ord", F.explode("args").alias("a")).select("session", "ord", F.col("a.v").alias("text")))
-    leaving = fi.union([tools.authorise(all_calls, rule), fi.canary_findings(outgoing, rule), fi.url_egress(outgoing, rule)]).withColumn("inspection", F.col("ord"))
-    found = fi.escalated(closing.unionByName(leaving), rule.strict_data).where(F.col("layer").isin(*rule.layers))
-    inspections = replies.select("session", F.col("ord").alias("inspection")).unionByName(calls.select("session", F.col("ord").alias("inspection"))).unionByName(names.select("session", F.lit(end).alias("inspection"))).distinct()
-    of_each = F.concat("session", F.lit("\0"), F.col("inspection").cast("string"))
-    decided = fi.decide(found.withColumn("key", of_each), rule.block_threshold, "key")
-    decisions = inspections.withColumn("key", of_each).join(decided, "key", "left").select("session", "inspection", F.coalesce("decision", F.lit("allow")).alias("decision"), F.coalesce("invariant_n", F.lit(0)).alias("invariant_n"), F.coalesce("scored_n", F.lit(0)).alias("scored_n"))
-    marks = spans.where("trust = 'data'").select("session").distinct().withColumn("tainted", F.lit(True))
-    folded = names.select("session").join(marks, "session", "left").join(events.groupBy("session").agg(F.count("*").alias("events")), "session", "left").join(decisions.groupBy("session").agg(F.count_if(F.col("decision") == "block").alias("blocks")), "session", "left")
-    return {"spans": spans, "events": events, "drops": drops, "findings": found, "decisions": decisions, "sessions": folded.na.fill({"events": 0, "blocks": 0, "tainted": False})}
+    read = fi.with_readings(spans.join(closing, "session"))
+    leaving = replies.select("session", F.col("ord").alias("inspection")).unionByName(calls.select("session", F.col("ord").alias("inspection")))
+    found, decided = [], []
+    for k, (begin, rule) in enumerate(rules):
+        until = rules[k + 1][0] if k + 1 < len(rules) else END + 1
+        within = lambda df, c: df.where(F.col(c).between(begin, until - 1))  # noqa: B023, E731
+        mine = within(read, "inspection")
+        inward = fi.union([fi.normalize_findings(mine), fi.ingress_findings(mine, rule), fi.nonce_findings(mine)]).join(spans.select("session", "ord", "span_index"), ["session", "ord"]).join(closing, "session")
+        outward = fi.union([tools.authorise(within(all_calls, "ord"), rule), fi.canary_findings(within(outgoing, "ord"), rule), fi.url_egress(within(outgoing, "ord"), rule)]).withColumn("span_index", F.lit(-1)).withColumn("inspection", F.col("ord"))
+        noted = [fi.disabled(within(which, "inspection").withColumn("ord", F.col("inspection")), rule, layers).withColumn("span_index", F.lit(-1)).withColumn("inspection", F.col("ord")) for which, layers in ((closing, INBOUND), (leaving, OUTBOUND))]
+        some = fi.escalated(inward.unionByName(outward), rule.strict_data).where(F.col("layer").isin(*rule.layers))
+        some = reduce(DataFrame.unionByName, noted, some).checkpoint()
+        found.append(some)
+        decided.append(fi.decide(some.withColumn("key", F.struct("session", "inspection")), rule.block_threshold, "key"))
+    found, decided = fi.union(found), fi.union(decided)
+    marks = spans.where("trust = 'data'").groupBy("session").agg(F.min("ord").alias("_first"))
+    found = found.join(marks, "session", "left").withColumn("tainted", F.coalesce(F.col("_first") < F.col("inspection"), F.lit(False))).drop("_first").withColumn("provenance", F.lit("declared"))
+    inspections = leaving.unionByName(closing).distinct()
+    decisions = inspections.join(decided.select("key.session", "key.inspection", "decision", "invariant_n", "scored_n"), ["session", "inspection"], "left").select("session", "inspection", F.coalesce("decision", F.lit("allow")).alias("decision"), F.coalesce("invariant_n", F.lit(0)).alias("invariant_n"), F.coalesce("scored_n", F.lit(0)).alias("scored_n"))
+    count = lambda df, name: df.groupBy("session").agg(F.count("*").alias(name))
+    folded = opened.select("session", "opened", F.coalesce("root", F.lit(0)).alias("root_pid"), F.coalesce("harness", F.lit("replay")).alias("harness")).join(closing, "session").join(marks.select("session", F.lit(True).alias("tainted")), "session", "left")
+    for df, name in ((events, "events"), (found, "findings"), (decisions.where("decision = 'block'"), "blocks")):
+        folded = folded.join(count(df, name), "session", "left")
+    return {"spans": spans, "events": events, "drops": drops, "findings": found, "decisions": decisions, "sessions": folded.na.fill({"events": 0, "findings": 0, "blocks": 0, "tainted": False})}
+
+
+def emitted(tables: dict[str, DataFrame], ring: int = 4096) -> DataFrame:
+    """The stream of a replayed run: t, seq from 1 and session of each line, with the fields of its type (others are null).
+
+    Lines stand in the order of the run: a session opens before its first line, an inspection's findings come by layer
+    and span, then its decision and, at a close, the counts. Each event that no session owns is a warning with the number so far.
+    """
+    s, inf = tables["sessions"], F.lit(END)
+    layer = F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer"))
+    at = lambda df, t_, place, sub: df.withColumn("t", F.lit(t_)).withColumn("_at", place).withColumn("_sub", F.lit(sub))
+    scrubbed = [t.scrub(F.col(c)).alias(c) for c in ("comm", "cmdline", "filename", "addr")]
+    spans, events = tables["spans"], tables["events"]
+    lost = numbered(tables["drops"].select("ord"), [F.col("ord")], "drop_total")
+    over = F.greatest(F.col("events") - ring, F.lit(0))
+    parts = [
+        at(s.select("session", "harness", "root_pid", "opened"), "session_open", F.col("opened"), 0).drop("opened"),
+        at(spans.select("session", "ord", "trust", "channel", "ref", "role", F.octet_length("text").cast("long").alias("text_len")), "span", F.col("ord"), 1),
+        at(events.select("session", "ord", "kind", "ts", "pid", "ppid", "flags", "dirfd", "port", "tainted", *scrubbed), "event", F.col("ord"), 1),
+        at(lost.select("ord", F.lit("events-dropped").alias("code"), "drop_total"), "warning", F.col("ord"), 1),
+        at(tables["findings"].withColumn("_layer", layer), "finding", F.col("inspection"), 2).drop("inspection"),
+        at(tables["decisions"].select("session", "inspection", "decision"), "decision", F.col("inspection"), 3).drop("inspection"),
+        at(s.select("session", "inspection", "events", "findings", over.alias("drop_total"), F.lit(0).cast("long").alias("upd_fail_total")), "session_close", F.col("inspection"), 4).drop("inspection"),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = rows.join(s.select("session", "opened"), "session", "left")
+    late = F.when(F.col("_at") == inf, F.col("opened")).otherwise(0)
+    order = [F.col("_at"), late, F.col("_sub"), *(F.coalesce(c, F.lit(0)) for c in ("_layer", "ord", "idx")), *(F.coalesce(c, F.lit("")) for c in ("rule", "evidence_digest"))]
+    return numbered(rows, order).drop("_at", "_sub", "_layer", "opened", "ord", "idx")

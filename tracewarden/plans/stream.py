@@ -107,6 +107,11 @@ def protocol(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if("duplicate").alias("duplicates"), F.coalesce(F.max(F.when(~F.col("duplicate"), F.col("seq"))), F.lit(0)).alias("last_seq"))
 
 
+def last_errors(rows: DataFrame, order: str = "seq", most: int = 5) -> DataFrame:
+    """The latest errors of a stream: ``order`` and error."""
+    return rows.where("error IS NOT NULL").select(order, "error").orderBy(F.desc(order)).limit(most)
+
+
 def run_summary(rows: DataFrame) -> DataFrame:
     is_ = lambda t: F.col("t") == t
     return rows.agg(

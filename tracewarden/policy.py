@@ -14,7 +14,10 @@ LAYERS = ("normalize", "ingress", "provenance", "toolauth", "egress")
 
 @dataclass(frozen=True)
 class Policy:
-    """Small by nature: it is made into literals of the plan. Raises ValueError for a canary that is too short."""
+    """Small by nature: it is made into literals of the plan. Raises ValueError for a canary that is too short.
+
+    The threshold may be spelt in either case.
+    """
 
     block_threshold: str = "high"
     strict_data: bool = True
@@ -24,6 +27,7 @@ class Policy:
     layers: frozenset[str] = field(default_factory=lambda: frozenset(LAYERS))
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "block_threshold", self.block_threshold.lower())
         if self.block_threshold not in SEVERITIES:
             raise ValueError(f"no such severity: {self.block_threshold}")
         for canary in self.canaries:

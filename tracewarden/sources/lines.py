@@ -7,9 +7,11 @@ drops that, so lines are parsed in Arrow batches. Everything after the scan is n
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,10 @@ LINE = (
 _DEFAULTS = {"harness": "replay", "role": "", "root_pid": 0, "ppid": 0, "ts": 0, "comm": "", "cmdline": "", "filename": "", "flags": 0, "dirfd": -100, "port": 0, "addr": "", "known": True, "user_confirmed": False}
 
 
+_HALVES = re.compile("[\ud800-\udfff]")
+_SMALL = ("dirfd", "port")  # 32 bits
+
+
 class Bad(ValueError):
     """A line that can't be taken."""
 
@@ -48,7 +54,19 @@ def parse(text: str):
         raise Bad(str(e).splitlines()[0]) from None
     if depth(value) > DEPTH:
         raise Bad("nested too deeply")
-    return value
+    return _whole(value) if "\\u" in text else value
+
+
+def _whole(value):
+    """The value with U+FFFD for halves of surrogate pairs. Nesting is bounded."""
+    if isinstance(value, str):
+        return _HALVES.sub("\ufffd", value)
+    if isinstance(value, dict):
+        out: dict = {}
+        for k, v in value.items():
+            out.setdefault(_whole(k), _whole(v))
+        return out
+    return [_whole(v) for v in value] if isinstance(value, list) else value
 
 
 def depth(value) -> int:
@@ -96,8 +114,10 @@ def _typed(value: dict, name: str, kind: type, missing=None):
     got = value.get(name)
     if got is None:
         return missing
-    if kind is int and isinstance(got, float):
+    if kind is int and isinstance(got, float) and math.isfinite(got):
         got = int(got)
+    if kind is int and isinstance(got, int) and not -(m := 1 << (31 if name in _SMALL else 63)) <= got < m:
+        raise Bad(f"{name} is too large")
     if not isinstance(got, kind) or kind is int and isinstance(got, bool):
         raise Bad(f"{name} has the wrong type")
     return got
@@ -132,7 +152,7 @@ def line(text: str) -> dict:
             if out["session"] is None and t != "event":
                 raise Bad("session is missing")
         if t == "policy":
-            out |= {"block_threshold": _typed(value, "block_threshold", str), "strict_data": _typed(value, "strict_data", bool)} | {k: _strings(value, k) for k in ("canaries", "allowed_hosts", "forbidden_effects")}
+            out |= {"block_threshold": _typed(value, "block_threshold", str), "strict_data": _typed(value, "strict_data", bool)} | {k: _strings(value, k) if value.get(k) is not None else None for k in ("canaries", "allowed_hosts", "forbidden_effects")}
         elif t == "session_open":
             out |= {"root_pid": _typed(value, "root_pid", int, 0), "harness": _typed(value, "harness", str, "replay")}
         elif t == "span":
@@ -160,12 +180,27 @@ def line(text: str) -> dict:
         return {"error": str(e)}
 
 
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file (its place in ``paths``), path, lineno and raw (bytes, without line ends) of all lines of text files.
+
+    Files are read in blocks, a task each; a count for each block tells where its lines begin.
+    """
+    rows = None
+    for i, path in enumerate(paths):
+        one = spark.read.option("lineSep", "\n").text(path)
+        one = one.select(F.lit(i).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
+        rows = one if rows is None else rows.unionByName(one)
+    blocks = rows.groupBy("file", "path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file", "path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "path", "block", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(blocks, ["file", "path", "block"]).select("file", "path", (F.col("id") + F.col("shift")).cast("long").alias("lineno"), "raw")
+
+
 def read_lines(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
     """All lines of JSONL files: file (its place in ``paths``), lineno, raw and the fields of ``LINE``.
 
     Blank lines are left out, a trailing CR too; a line without ``ord`` takes its number. Wrong lines have an
-    ``error`` and no fields; with ``strict`` the first of them ends the query, with file and number. Files are read
-    by Spark; line numbers need a file in one piece, so a file is one task's.
+    ``error`` and no fields, whatever their bytes; with ``strict`` the first of them ends the query, with file and number.
     """
     schema = T.StructType.fromDDL(LINE)
 
@@ -176,29 +211,30 @@ def read_lines(spark: SparkSession, paths: list[str], strict: bool = False) -> D
         for batch in batches:
             found = {k: [] for k in ("file", "lineno", "raw")}
             rows = []
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, raw in enumerate(content.decode("utf-8", "replace").split("\n"), 1):
-                    raw = raw.removesuffix("\r")
-                    if not raw.strip():
-                        continue
-                    fields = line(raw)
-                    if strict and "error" in fields:
-                        raise Bad(f"{paths[file]}:{number}: {fields['error']}")
-                    if fields.get("ord") is None and "error" not in fields:
-                        fields["ord"] = number
-                    rows.append(fields)
-                    for k, v in (("file", file), ("lineno", number), ("raw", raw)):
-                        found[k].append(v)
+            for file, number, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = content.decode("utf-8", "replace").removesuffix("\r")
+                if not raw.strip():
+                    continue
+                fields = line(raw)
+                if strict and "error" in fields:
+                    raise Bad(f"{paths[file]}:{number}: {fields['error']}")
+                if fields.get("ord") is None and "error" not in fields:
+                    fields["ord"] = number
+                rows.append(fields)
+                for k, v in (("file", file), ("lineno", number), ("raw", raw)):
+                    found[k].append(v)
             body = pa.Table.from_pylist(rows, schema=arrow) if rows else arrow.empty_table()
-            head = [pa.array(found["file"], pa.int32()), pa.array(found["lineno"], pa.int32()), pa.array(found["raw"], pa.string())]
+            head = [pa.array(found["file"], pa.int32()), pa.array(found["lineno"], pa.int64()), pa.array(found["raw"], pa.string())]
             names = ["file", "lineno", "raw", *arrow.names]
             yield pa.RecordBatch.from_arrays([*head, *(c.combine_chunks() for c in body.columns)], names)
 
-    files = None
-    for i, path in enumerate(paths):
-        one = spark.read.format("binaryFile").load(path).select(F.lit(i).alias("file"), "content")
-        files = one if files is None else files.unionByName(one)
-    return files.mapInArrow(run, f"file int, lineno int, raw string, {LINE}")
+    return numbered_lines(spark, paths).select("file", "lineno", "raw").mapInArrow(run, f"file int, lineno long, raw string, {LINE}")
+
+
+def watched(lines: DataFrame, name: str = "lines") -> tuple[DataFrame, Observation]:
+    """``lines`` with counts of received and of wrong ones, that are there once an action has run: the source is then closed."""
+    seen = Observation(name)
+    return lines.observe(seen, F.count("*").alias("received"), F.count_if(F.col("error").isNotNull()).alias("wrong")), seen
 
 
 def program(lines: DataFrame) -> DataFrame:
@@ -226,6 +262,20 @@ def chat_spans(chats: DataFrame, messages: str = "messages", session: str = "ses
     return rows.select("session", F.col("ord").cast("long").alias("ord"), F.col("m.role").alias("role"), trust.alias("trust"), F.when(data, F.lit("tool")).alias("channel"), F.when(data, F.coalesce("m.tool_call_id", "m.name", F.lit("unnamed"))).alias("ref"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+_REPLY = "struct<choices:array<struct<message:struct<content:string,tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>>>>"
+
+
+def chat_replies(replies: DataFrame, body: str = "body", session: str = "session") -> tuple[DataFrame, DataFrame]:
+    """What the first choice of chat replies says and calls: (session, text) and (session, idx, id, name, arguments).
+
+    Arguments are a JSON text of their own; a body that is no reply says and calls nothing.
+    """
+    m = F.from_json(F.col(body), _REPLY)["choices"][0]["message"]
+    rows = replies.select(F.col(session).alias("session"), m.alias("m")).where("m IS NOT NULL")
+    calls = rows.select("session", F.posexplode("m.tool_calls").alias("idx", "c"))
+    return rows.select("session", F.coalesce("m.content", F.lit("")).alias("text")), calls.select("session", "idx", "c.id", "c.function.name", F.coalesce("c.function.arguments", F.lit("{}")).alias("arguments"))
+
+
 def hook_spans(hooks: DataFrame) -> DataFrame:
     """Spans of hook events (session_id, hook_event_name, tool_name, tool_input, tool_response, prompt, ord): a prompt is the
     user's, what a tool was given and answered is data of the tool; other events make none."""
