@@ -6,6 +6,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from tracewarden.llm import bpe_trie, licences, maglev, minhash, packing, permutations, queries, secrets, tiff, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, n_words string"
@@ -146,3 +148,23 @@ def test_general_interfaces(spark):
     pages = tiff.tiff_pages(media).orderBy("doc_id", "page").collect()
     assert [(r["doc_id"], r["page"], r["error"] is None) for r in pages] == [(1, 0, True), (1, 1, True), (1, 2, True), (3, None, False)]
     assert hashlib.sha256(b"".join(bytes(r["pixels"]) for r in pages[:3])).digest() == hashlib.sha256(b"ab" * 96 * 600).digest()
+
+
+@pytest.mark.parametrize("name", ["odd", "empty"])
+def test_the_pipeline_on_odd_and_empty_tables(spark, folders, name):
+    """Each stage keeps the columns; of the groups of copies one document each stays, with every token once."""
+    docs = spark.read.parquet(f"{folders[name]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folders[name])
+        assert docs.columns == corpus_pipeline.COLUMNS
+    got = corpus_pipeline.run(spark, folders[name]).collect()
+    kept = sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=str)
+    assert sorted({r["doc_id"] for r in got}, key=str) == sorted(set(kept), key=str)
+    assert kept == ([] if name == "empty" else sorted([1, 2, None, 3, 4, 5, 7, 9], key=str))
+
+
+def test_copies_of_a_row_stay_once(spark):
+    a, b = "a b c d e f g h i j", "q r s t u v w x y z"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(3, a, "", "", 1), (3, a, "", "", 1), (5, b, "", "", 1), (5, b, "", "", 1), (9, a, "", "", 1)], schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [3, 5]

@@ -168,12 +168,13 @@ def fit(rows: list[tuple[str, int]], rate: float, rounds: int = 120) -> Field:
     """Fit on (text, label 0 or 1) pairs; ``rate`` is the share of label 1 among all labelled rows.
 
     Of the rows, two in three train the field and one in three the calibrator. Without rows of both
-    classes the score is ``rate`` everywhere.
+    classes nothing tells them apart: the score is ``rate`` everywhere, but under 0.5, so that no document is rejected.
     """
     prior = float(np.log(max(rate, 1e-4) / max(1 - rate, 1e-4)))
     m = Field(np.zeros(BUCKETS), -4.0, -4.0, 0.0, 1.0, np.array([prior, 0.0, 0.0]))
     rows = sorted(set(rows))
     if len({y for _, y in rows}) < 2:
+        m.head[0] = min(prior, -0.1)
         return m
     labels = np.array([y for _, y in rows])
     fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 3 for t, _ in rows])
