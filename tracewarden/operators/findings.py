@@ -6,6 +6,7 @@ take the ``readings`` column that ``with_readings`` makes once for each text.
 
 from __future__ import annotations
 
+import codecs
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,9 +67,10 @@ def raw_findings(spans: DataFrame, policy: Policy) -> DataFrame:
     for each text, and its findings are one array, so that a corpus is read and exploded once.
     """
     seen, low = t.strip_invisibles(F.col("text")), t.lower_ascii(F.col("text"))
-    rows = spans.select("session", "ord", "text", (F.col("trust") == "data").alias("data"), (F.octet_length("text") > TEXT_BYTES).alias("large"), seen.alias("seen"), low.alias("low"), closure.plain_forms(F.col("text")).alias("forms"), t.links(F.col("text")).alias("links"))
+    rows = spans.select("session", "ord", "text", (F.col("trust") == "data").alias("data"), (F.octet_length("text") > TEXT_BYTES).alias("large"), seen.alias("seen"), low.alias("low"), t.lower_ascii(t.strip_noise(F.col("text"))).alias("plain"), t.links(F.col("text")).alias("links"))
     item = lambda idx, layer, rule, severity, invariant, evidence: F.struct(idx.cast("int").alias("idx"), F.lit(layer).alias("layer"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(invariant).alias("invariant"), evidence.alias("e"))
-    shown = lambda n: F.exists("forms", lambda x: F.contains(x, F.lit(n)))
+    # A text shows a needle turned or reversed where it contains the needle turned or reversed.
+    shown = lambda n: t.contains_any(F.col("plain"), tuple(x[::way] for x in (n, codecs.encode(n, "rot13")) for way in (1, -1)))
     zero, strict, low = F.lit(0), policy.strict_data, F.col("low")
     once = [
         (F.col("large"), item(zero, "normalize", "input-too-large", "high", False, F.lit("input exceeds normalize budget"))),
