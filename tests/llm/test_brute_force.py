@@ -222,7 +222,7 @@ def test_the_network_tells_keys_from_harmless_runs():
 
 
 def test_keys_of_kinds_that_no_rule_knows_are_found():
-    net, rng = secrets.fit_unlabelled([]), random.Random(8)
+    net, rng = secrets.fit_unlabelled([], []), random.Random(8)
     alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     key = lambda n: "".join(rng.choice(alnum) for _ in range(n))
     kinds = {"ghp_": 36, "glpat-": 20, "sk_live_": 24, "xoxb-": 40, "": 32, "eyJ": 60, "zz9_": 30}
@@ -235,7 +235,7 @@ def test_keys_of_kinds_that_no_rule_knows_are_found():
 
 
 def test_keys_with_few_digits_are_found():
-    net, rng = secrets.fit_unlabelled([]), random.Random(4)
+    net, rng = secrets.fit_unlabelled([], []), random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = []
     for k in range(300):
