@@ -23,12 +23,12 @@ from .components import shared_folder
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: What a score is scaled by, and the share (in hundredths) of a phrase's places from which a longer one stands for it.
 SCALE, SHARE = 2_000_000, 80
-#: Rows of the sketch, and bounds on the bits of a row's width. Between them a row has a cell for 32 to 64 bytes of text.
+#: Rows of the sketch, and bounds on the bits of a row's width. Between them a row has a cell for 64 to 128 bytes of text.
 DEPTH, NARROWEST, WIDEST = 3, 16, 27
 #: Cells of a piece of the sketch, the unit that is merged.
 PIECE = 1 << 16
 #: Bytes of text that are turned into arrays at once.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -55,6 +55,7 @@ class Block:
         self.ids = ids[word]
         self.piece = np.cumsum(ends, dtype=np.int32)[word]
         self.lang = of_piece[self.piece]
+        del tokens, texts, ids, ends, word
         self.own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)[self.ids]
         self.seed = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs], np.uint64)[self.lang]
 
@@ -85,7 +86,7 @@ def _blocks(batches) -> Iterator[Block]:
 
 def width_for(n_bytes: int) -> int:
     """Cells of a row of the sketch for texts of so many bytes. It decides how many phrases survive, never what is found."""
-    return 1 << min(WIDEST, max(NARROWEST, (max(n_bytes, 1) // 64).bit_length()))
+    return 1 << min(WIDEST, max(NARROWEST, (max(n_bytes, 1) // 128).bit_length()))
 
 
 def survivors(texts: DataFrame, least: int, width: int, sketches: int) -> dict[tuple[int, int], bytes]:
@@ -102,6 +103,7 @@ def survivors(texts: DataFrame, least: int, width: int, sketches: int) -> dict[t
             for _, _, h in block.hashed():
                 distinct, counts = np.unique(h, return_counts=True)
                 counts = np.minimum(counts, most).astype(np.uint16)
+                del h
                 for row in range(DEPTH):
                     np.add.at(sketch[row], _cells(distinct, width, row), counts)
                     np.minimum(sketch[row], most, out=sketch[row])
