@@ -6,6 +6,7 @@ All kernels work on bytes, as case, reversal and letters are meant bytewise. The
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import unicodedata
 from functools import cache
@@ -201,6 +202,73 @@ def folded(c: pa.Array) -> pa.Array:
     return pa.array([normalized(t).decode("utf-8", "replace") for t in _bytes(c)], pa.string())
 
 
+LOOK = "struct<large:boolean,plain:string,depth:int,coded:string,embedded:string,markers:array<string>,shaped:boolean,forged:boolean,errors:array<string>>"
+
+
+def _digest(t: bytes) -> str:
+    return hashlib.sha256(t).hexdigest()[:16]
+
+
+def look(text: str, data: bool, nonce: str | None, layers: frozenset[str], words: tuple) -> dict:
+    """What the inbound layers see of a text, evidence as digests. The readings are made once for all of them.
+
+    A layer that raises is named in ``errors``: this text's trouble is its own, and no other's.
+    """
+    own, raw = text.encode(), text.encode().partition(b"\0")[0]
+    out: dict = {"large": len(own) > TEXT_BYTES, "errors": []}
+    seen: list[bytes] = []
+
+    def normalize():
+        if out["large"]:
+            return
+        if (plain := normalized(raw).decode("utf-8", "replace")) != text:
+            out["plain"] = _digest(plain.encode())
+        inner, depth = unwrap(raw)
+        out["depth"] = depth
+        if depth:
+            out["coded"] = _digest(inner)
+        elif found := embedded(raw):
+            out["embedded"] = _digest(found[0])
+
+    def ingress():
+        if not data:
+            return
+        seen[:] = readings(raw, VARIANTS if nonce and "provenance" in layers else INGRESS_VARIANTS)
+        lowered = [r.lower() for r in seen[:INGRESS_VARIANTS]]
+        markers, person, imperatives, targets, mine = words
+        out["markers"] = [m.decode() for r in lowered for m in markers if m.lower() in r]
+        said = any(p in r for r in lowered for p in person)
+        asked = any(any(x in r for x in imperatives) and any(x in r for x in targets) for r in lowered)
+        out["shaped"] = said or asked and not any(x in own.lower() for x in mine)
+
+    def provenance():
+        wanted = noiseless((nonce or "").encode()).lower()
+        if data and wanted:
+            seen[:] = seen or readings(raw)
+            out["forged"] = any(wanted in noiseless(r).lower() for r in seen)
+
+    for layer in (normalize, ingress, provenance):
+        if layer.__name__ in layers:
+            try:
+                layer()
+            except Exception:  # noqa: BLE001 - whatever it is, it must show as a finding
+                out["errors"].append(layer.__name__)
+    return out
+
+
+def looked(layers: tuple[str, ...], words: tuple, see=look):
+    """A function of (text, data, nonce) in Arrow batches: ``see`` for each text."""
+    wanted = frozenset(layers)
+
+    @F.arrow_udf(LOOK)
+    def run(c: pa.Array, data: pa.Array, nonce: pa.Array) -> pa.Array:
+        rows = zip(c.to_pylist(), data.to_pylist(), nonce.to_pylist(), strict=True)
+        kind = pa.struct([("large", pa.bool_()), ("plain", pa.string()), ("depth", pa.int32()), ("coded", pa.string()), ("embedded", pa.string()), ("markers", pa.list_(pa.string())), ("shaped", pa.bool_()), ("forged", pa.bool_()), ("errors", pa.list_(pa.string()))])
+        return pa.array([see(t or "", bool(d), n, wanted, words) for t, d, n in rows], kind)
+
+    return run
+
+
 def plain_forms(c: Column) -> Column:
     """The letters and digits of a text, lowered, as they stand, in rot13, reversed, and both: native, and all
     among the readings. A needle found here needs no further search."""
@@ -213,24 +281,49 @@ def shows(c: Column, n: bytes) -> Column:
     return F.exists(plain_forms(c), lambda x: F.contains(x, F.lit(n.decode()))) if n else F.lit(False)
 
 
-def with_canaries(df: DataFrame, canaries: tuple[str, ...], text: str = "text") -> DataFrame:
-    """``df`` with ``hits``: the canaries that some reading of the text contains.
+def with_canaries(df: DataFrame, canaries: tuple[str, ...] | Column, text: str = "text") -> DataFrame:
+    """``df`` with ``hits``: the canaries that some reading of the text contains; null where the search raises.
 
     Texts that show all canaries natively skip Python's search by passing it an empty text.
     """
+    if isinstance(canaries, Column):
+        return df.withColumn("hits", canaries_in(F.coalesce(F.col(text), F.lit("")), canaries))
     needles = [needle(c) for c in canaries]
     if not needles:
         return df.withColumn("hits", F.array().cast("array<string>"))
 
     @F.arrow_udf(T.ArrayType(T.BooleanType()))
     def search(c: pa.Array) -> pa.Array:
-        return pa.array([finds(t, needles) for t in _bytes(c)], pa.list_(pa.bool_()))
+        return pa.array([_found(t, needles) for t in _bytes(c)], pa.list_(pa.bool_()))
 
     shown = F.array(*(shows(F.col(text), n) for n in needles))
     df = df.withColumn("_shown", shown)
     df = df.withColumn("_found", search(F.when(F.forall("_shown", lambda x: x), F.lit("")).otherwise(F.coalesce(F.col(text), F.lit("")))))
     named = F.transform(F.arrays_zip(F.array(*map(F.lit, canaries)).alias("c"), F.col("_shown"), F.col("_found")), lambda x: F.when(x["_shown"] | x["_found"], x["c"]))
-    return df.withColumn("hits", F.filter(named, lambda x: x.isNotNull())).drop("_shown", "_found")
+    return df.withColumn("hits", F.when(F.col("_found").isNotNull(), F.filter(named, lambda x: x.isNotNull()))).drop("_shown", "_found")
+
+
+def _found(t: bytes, needles: list[bytes], find=finds) -> list[bool] | None:
+    """``finds``, or None where it raises."""
+    try:
+        return find(t, needles)
+    except Exception:  # noqa: BLE001 - whatever it is, it must show as a finding
+        return None
+
+
+_needle = cache(needle)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def canaries_in(c: pa.Array, canaries: pa.Array) -> pa.Array:
+    """The canaries of a row's own list that some reading of its text contains; null where the search raises."""
+    out = []
+    for t, own in zip(_bytes(c), canaries.to_pylist(), strict=True):
+        hit = _found(t, [_needle(x) for x in own or []])
+        out.append(None if hit is None else [x for x, h in zip(own or [], hit, strict=True) if h])
+    if _needle.cache_info().currsize > 1 << 16:
+        _needle.cache_clear()
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def ingress_readings(t: bytes) -> list[bytes]:

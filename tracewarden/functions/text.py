@@ -72,8 +72,10 @@ def link_host(link: Column) -> Column:
     return lower_ascii(F.when(F.startswith(host, F.lit("[")), host).otherwise(F.substring_index(host, ":", 1)))
 
 
-def host_allowed(host: Column, allowed: tuple[str, ...]) -> Column:
+def host_allowed(host: Column, allowed: tuple[str, ...] | Column) -> Column:
     """An entry is the host itself or, with a leading dot, an apex and all below it."""
+    if isinstance(allowed, Column):
+        return F.exists(allowed, lambda a: (host == a) | (F.startswith(a, F.lit(".")) & ((host == F.substring(a, 2, 1 << 30)) | F.endswith(host, a))))
     tests = [(host == a) | ((host == a[1:]) | F.endswith(host, F.lit(a)) if a.startswith(".") else F.lit(False)) for a in allowed]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import closure
 from ..functions import text as t
-from ..policy import DECODE_DEPTH, INGRESS_VARIANTS, SEVERITIES, TEXT_BYTES, Policy
+from ..policy import DECODE_DEPTH, SEVERITIES, TEXT_BYTES, Policy, Rules, rules
 
 #: Markers of chat templates.
 MARKERS = ("<|im_start|>", "<|im_end|>", "<|system|>", "<|user|>", "<|assistant|>", "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "</system>", "</s>")
@@ -56,7 +56,7 @@ def instruction_shaped(lowered: list[Column] | Column, own: Column) -> Column:
 
 
 def with_readings(spans: DataFrame, text: str = "text") -> DataFrame:
-    """``spans`` with ``readings`` (bytes), made once in Arrow batches and kept apart from what reads it."""
+    """``spans`` with ``readings`` (bytes) of each text. What reads them more than once makes them more than once: layers look by ``closure.look``."""
     return spans.withColumn("readings", closure.closure_readings(F.coalesce(F.col(text), F.lit(""))))
 
 
@@ -91,52 +91,70 @@ def url_hosts(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode(t.links(F.col("text"))).alias("idx", "link")).withColumn("host", t.link_host(F.col("link"))).drop("link").where("host <> ''")
 
 
-def url_egress(rows: DataFrame, policy: Policy) -> DataFrame:
+def url_egress(rows: DataFrame, policy: Policy | Rules) -> DataFrame:
     """Links to hosts that the policy doesn't list, in texts within the budget; a larger one is a finding of its own."""
     hosts = url_hosts(rows.where(F.octet_length("text") <= TEXT_BYTES)).where(~t.host_allowed(F.col("host"), policy.allowed_hosts))
     return finding(hosts, "egress", "url-egress", "critical", True, F.col("host"), F.col("idx"))
 
 
+_WORDS = tuple(tuple(x.encode() for x in words) for words in (MARKERS, SECOND_PERSON, IMPERATIVES, TARGETS, ("my ", "our ")))
+
+
+def inbound_findings(spans: DataFrame, policy: Policy | Rules, layers: tuple[str, ...] = ("normalize", "ingress", "provenance"), see=closure.look) -> DataFrame:
+    """Findings of the inbound layers, from one look at each text: one Arrow pass, one explode.
+
+    ``spans``: session, ord, trust, text and, for provenance, nonce. A marker is found once in each reading. A layer that
+    raises on a text gives a critical finding that blocks that text's session, and no other.
+    """
+    seen = closure.looked(layers, _WORDS, see)(F.coalesce("text", F.lit("")), F.coalesce(F.col("trust") == "data", F.lit(False)), F.col("nonce") if "nonce" in spans.columns else F.lit(None).cast("string"))
+    strict = rules(policy).strict
+    rows = spans.withColumn("_s", seen)
+    zero = F.lit(0)
+    item = lambda layer, rule, severity, invariant, e, idx=zero: F.struct(idx.cast("int").alias("idx"), (F.lit(layer) if isinstance(layer, str) else layer).alias("layer"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), invariant.alias("invariant"), e.alias("evidence_digest"))
+    yes, no = F.lit(True), F.lit(False)
+    s = lambda name: F.col(f"_s.{name}")
+    once = [
+        (s("large") & F.lit("normalize" in layers), item("normalize", "input-too-large", "high", no, t.digest(F.lit("input exceeds normalize budget")))),
+        (s("plain").isNotNull(), item("normalize", "unicode-transform", "medium", no, s("plain"))),
+        (s("depth").between(1, DECODE_DEPTH - 1), item("normalize", "transport-encoded", "medium", no, s("coded"))),
+        (s("depth") >= DECODE_DEPTH, item("normalize", "decode-budget", "high", no, s("coded"))),
+        (s("embedded").isNotNull(), item("normalize", "embedded-encoded", "medium", no, s("embedded"))),
+        (s("shaped"), item("ingress", "data-imperative", "medium", strict, t.digest(F.col("text")))),
+        (s("forged"), item("provenance", "nonce-forgery", "critical", yes, t.digest(F.col("nonce")) if "nonce" in spans.columns else F.lit(""))),
+    ]
+    found = F.filter(F.array(*(F.when(test, made) for test, made in once)), lambda f: f.isNotNull())
+    marked = F.transform(s("markers"), lambda m, i: item("ingress", "chat-template-marker", "high", strict, t.digest(m), i))
+    failed = F.transform(s("errors"), lambda x: item(x, "layer-error", "critical", yes, t.digest(F.lit("layer returned non-zero"))))
+    none = F.array().cast("array<struct<idx:int,layer:string,rule:string,severity:string,invariant:boolean,evidence_digest:string>>")
+    rows = rows.select("session", "ord", F.explode(F.concat(found, F.coalesce(marked, none), F.coalesce(failed, none))).alias("f"))
+    return rows.select("session", "ord", "f.*")
+
+
 def normalize_findings(spans: DataFrame) -> DataFrame:
     """Disguises of a text, whatever it says: too large, invisible or look-alike characters, codings."""
-    large = F.octet_length("text") > TEXT_BYTES
-    rows = spans.where(~large)
-    plain = rows.withColumn("_p", closure.folded("text"))
-    coded = rows.withColumn("_u", closure.unwrapped("text"))
-    inner = coded.where(F.col("_u.depth") == 0).withColumn("_e", closure.embedded_decodes("text")).where(F.size("_e") > 0)
-    return union([
-        finding(spans.where(large), "normalize", "input-too-large", "high", False, F.lit("input exceeds normalize budget")),
-        finding(plain.where(F.col("_p") != F.col("text")), "normalize", "unicode-transform", "medium", False, F.col("_p")),
-        finding(coded.where(F.col("_u.depth").between(1, DECODE_DEPTH - 1)), "normalize", "transport-encoded", "medium", False, F.col("_u.text")),
-        finding(coded.where(F.col("_u.depth") >= DECODE_DEPTH), "normalize", "decode-budget", "high", False, F.col("_u.text")),
-        finding(inner, "normalize", "embedded-encoded", "medium", False, F.element_at("_e", 1)),
-    ])
-
-
-def ingress_findings(spans: DataFrame, policy: Policy) -> DataFrame:
-    """Instructions and chat markers in any reading of data; needs ``readings``. A marker is found once in each reading."""
-    rows = spans.where(F.col("trust") == "data").withColumn("_r", F.transform(F.slice("readings", 1, INGRESS_VARIANTS), lambda r: t.lower_ascii(F.decode(r, "ISO-8859-1"))))
-    pairs = F.flatten(F.transform("_r", lambda r: F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(r, t.lower_ascii(m)))))
-    marked = rows.select("session", "ord", F.posexplode(pairs).alias("idx", "_m"))
-    return union([
-        finding(marked, "ingress", "chat-template-marker", "high", policy.strict_data, F.col("_m"), F.col("idx")),
-        finding(rows.where(instruction_shaped([F.col("_r")], t.lower_ascii(F.col("text")))), "ingress", "data-imperative", "medium", policy.strict_data, F.col("text")),
-    ])
+    return inbound_findings(spans, Policy(), ("normalize",))
+
+
+def ingress_findings(spans: DataFrame, policy: Policy | Rules) -> DataFrame:
+    """Instructions and chat markers in any reading of data."""
+    return inbound_findings(spans, policy, ("ingress",))
 
 
 def nonce_findings(spans: DataFrame) -> DataFrame:
-    """Data that shows the session's own ``nonce`` in some reading; silent without one. Needs ``readings``."""
-    wanted = t.lower_ascii(t.strip_noise(F.col("nonce")))
-    plain = F.transform("readings", lambda r: t.lower_ascii(t.strip_noise(F.decode(r, "ISO-8859-1"))))
-    hit = F.exists(plain, lambda r: F.contains(r, wanted))
-    return finding(spans.where((F.col("trust") == "data") & (wanted != "") & hit), "provenance", "nonce-forgery", "critical", True, F.col("nonce"))
+    """Data that shows the session's own ``nonce`` in some reading; silent without one."""
+    return inbound_findings(spans, Policy(), ("provenance",))
 
 
-def canary_findings(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Canaries in any reading of outgoing texts; too large a text is a finding of its own."""
+def canary_findings(rows: DataFrame, policy: Policy | Rules) -> DataFrame:
+    """Canaries in any reading of outgoing texts, in one pass; too large a text is a finding of its own, and so is a failing search."""
     large = F.octet_length("text") > TEXT_BYTES
-    found = closure.with_canaries(rows.where(~large), policy.canaries).select("*", F.posexplode("hits").alias("idx", "_c"))
-    return union([finding(rows.where(large), "egress", "output-too-large", "critical", True, F.lit("output exceeds egress budget")), finding(found, "egress", "canary-leak", "critical", True, F.col("_c"), F.col("idx"))])
+    canaries = policy.canaries if isinstance(policy, Policy) else policy.canaries
+    rows = closure.with_canaries(rows.withColumn("_t", F.when(large, "").otherwise(F.col("text"))).withColumn("_large", large), canaries, "_t")
+    kind = "array<struct<rule:string,idx:int,e:string>>"
+    item = lambda rule, e, idx=F.lit(0): F.struct(F.lit(rule).alias("rule"), idx.cast("int").alias("idx"), e.alias("e"))  # noqa: E731, B008
+    told = F.when(F.col("_large"), F.array(item("output-too-large", F.lit("output exceeds egress budget")))).when(F.col("hits").isNull(), F.array(item("layer-error", F.lit("layer returned non-zero")))).otherwise(F.transform("hits", lambda c, i: item("canary-leak", c, i)).cast(kind))
+    found = rows.select("session", "ord", F.explode(told).alias("f"))
+    return found.select("session", "ord", "f.idx", F.lit("egress").alias("layer"), "f.rule", F.lit("critical").alias("severity"), F.lit(True).alias("invariant"), t.digest(F.col("f.e")).alias("evidence_digest"))
 
 
 def disabled(inspections: DataFrame, policy: Policy, layers: tuple[str, ...]) -> DataFrame:
@@ -159,17 +177,19 @@ def verdict(findings: DataFrame, threshold: str = "high") -> DataFrame:
     return rows.select("session", F.to_json(F.struct("decision", shown.alias("findings"))).alias("payload"))
 
 
-def escalated(findings: DataFrame, strict: bool) -> DataFrame:
+def escalated(findings: DataFrame, strict: bool | Column) -> DataFrame:
     """Under a strict policy what commands from inside data is invariant."""
-    return findings.withColumn("invariant", F.col("invariant") | (F.col("rule").isin(*STRICT_RULES) & F.lit(strict)))
+    strict = F.lit(strict) if isinstance(strict, bool) else strict
+    return findings.withColumn("invariant", F.col("invariant") | (F.col("rule").isin(*STRICT_RULES) & strict))
 
 
-def decide(findings: DataFrame, threshold: str = "high", by: str = "session") -> DataFrame:
+def decide(findings: DataFrame, threshold: str | Column = "high", by: str = "session") -> DataFrame:
     """``by``, decision and the counts behind it: an invariant finding blocks, and so does a severity from the threshold on."""
-    top = F.max(F.when(~F.col("invariant") & (F.col("severity") != "info"), rank(F.col("severity"))))
-    folded = findings.groupBy(by).agg(F.count_if("invariant").alias("invariant_n"), F.count_if(~F.col("invariant")).alias("scored_n"), top.alias("_top"))
-    block = (F.col("invariant_n") > 0) | (F.coalesce("_top", F.lit(-1)) >= SEVERITIES.index(threshold))
-    return folded.select(by, F.when(block, "block").otherwise("allow").alias("decision"), "invariant_n", "scored_n")
+    counts = F.col("severity") != "info"
+    reached = rank(F.col("severity")) >= (SEVERITIES.index(threshold) if isinstance(threshold, str) else rank(threshold))
+    block = F.bool_or(F.col("invariant") | (counts & reached))
+    folded = findings.groupBy(by).agg(F.count_if("invariant").alias("invariant_n"), F.count_if(~F.col("invariant")).alias("scored_n"), block.alias("_block"))
+    return folded.select(by, F.when(F.col("_block"), "block").otherwise("allow").alias("decision"), "invariant_n", "scored_n")
 
 
 def deciding(findings: DataFrame, by: str = "session") -> DataFrame:

@@ -36,17 +36,21 @@ def numbered(df: DataFrame, order: list[Column], name: str = "seq") -> DataFrame
     return laid.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i") + 1).drop("_p", "_i", "_o")
 
 
-def running_max(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """``df`` with the largest ``value`` of all earlier rows, null before the first one."""
-    laid = _laid_out(df.withColumn("_v", value), order)
-    above = laid.groupBy("_p").agg(F.max("_v").alias("m")).select("_p", F.max("m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
-    inside = F.max("_v").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
-    return laid.withColumn("_w", inside).join(F.broadcast(above), "_p").withColumn(name, F.greatest("_w", "_o")).drop("_p", "_i", "_o", "_v", "_w")
+def running_max(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, by name, the largest of each value of all earlier rows, null before the first one. Of structs that begin with the
+    order it is the latest. A partition is walked in order, and one row of each partition tells the others what came before."""
+    names = list(values)
+    laid = _laid_out(df.select("*", *(v.alias(f"_v{k}") for k, v in enumerate(values.values()))), order)
+    carried = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    above = laid.groupBy("_p").agg(*(F.max(f"_v{k}").alias(f"_m{k}") for k in range(len(names)))).select("_p", *(F.max(f"_m{k}").over(carried).alias(f"_o{k}") for k in range(len(names))))
+    inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = laid.select("*", *(F.max(f"_v{k}").over(inside).alias(f"_w{k}") for k in range(len(names)))).join(F.broadcast(above), "_p")
+    return rows.select(*df.columns, *(F.greatest(f"_w{k}", f"_o{k}").alias(name) for k, name in enumerate(names)))
 
 
 def fresh(df: DataFrame, arrival: list[Column], seq: str = "seq") -> DataFrame:
     """``df`` with ``duplicate``: a positive ``seq`` that isn't over all that arrived before. Null and 0 always apply."""
-    found = running_max(df, arrival, F.when(F.col(seq) > 0, F.col(seq)), "_top")
+    found = running_max(df, arrival, {"_top": F.when(F.col(seq) > 0, F.col(seq))})
     return found.withColumn("duplicate", (F.col(seq) > 0) & (F.col(seq) <= F.coalesce("_top", F.lit(0)))).withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("_top")
 
 

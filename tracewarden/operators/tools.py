@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lower_ascii
-from ..policy import Policy
+from ..policy import Policy, Rules, rules
 from .findings import finding, union
 
 #: Tools that carry data out, how such names begin, and what they contain.
@@ -53,9 +53,9 @@ def not_listed(args: Column, allow: Column) -> Column:
     return F.filter(allow, broken)
 
 
-def authorise(calls: DataFrame, policy: Policy) -> DataFrame:
+def authorise(calls: DataFrame, policy: Policy | Rules) -> DataFrame:
     """Findings of tool calls. An unknown tool is that alone."""
-    known, forbidden = calls.where("known"), F.array(*map(F.lit, policy.forbidden_effects)).cast("array<string>")
+    known, forbidden = calls.where("known"), rules(policy).forbidden_effects
     each = lambda rows, c: rows.select("*", F.posexplode(c).alias("idx", "_x"))
     say = lambda rows, rule, evidence, idx=0: finding(rows, "toolauth", rule, "critical", True, evidence, idx)
     guard = lambda *names: reduce(lambda a, b: a | b, [F.array_contains("guards", n) for n in names])

@@ -355,24 +355,30 @@ def exec_exit_duration(spark, sf_dir):
 
 
 def _attributed(spark, sf_dir):
+    """Four sessions with a root each; the first one of them ends amid the events."""
     events = inputs.kernel_events(spark, sf_dir)
-    seeds = spark.range(1, 5).withColumnRenamed("id", "root")
-    members = process.ancestry(process.edges(events), seeds).select("pid", F.concat(F.lit("s"), (F.col("root") - 1).cast("string")).alias("session"), F.col("root").alias("opened"), "path")
-    return process.attributed(events, members)
+    roots = spark.range(1, 5).select(F.concat(F.lit("s"), (F.col("id") - 1).cast("string")).alias("session"), F.col("id").alias("root"), (F.col("id") - 9).alias("opened"), F.when(F.col("id") == 1, 700).cast("long").alias("closed"))
+    return process.attributed(events, roots)
 
 
 _OWNED = f"""{KEV}, {_EDGES},
-down AS (
-  SELECT CAST(range AS BIGINT) AS root, CAST(range AS BIGINT) AS pid, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM range(1, 5)
-  UNION ALL SELECT root, e.pid, depth + 1, list_append(path, e.pid) FROM down JOIN edges e ON e.ppid = down.pid AND e.pid <> e.ppid WHERE depth < 64),
-gone AS (SELECT pid, ord AS since, until FROM (
-  SELECT *, first_value(CASE WHEN kind = 'exec' THEN ord END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until
-  FROM v_kev WHERE kind IN ('exec', 'exit')) WHERE kind = 'exit'),
-claims AS (SELECT e.ord, d.root, d.path FROM v_kev e JOIN down d USING (pid) WHERE e.session IS NULL),
-above AS (SELECT ord, root, unnest(path) AS up FROM claims),
-cut AS (SELECT DISTINCT a.ord, a.root FROM above a JOIN gone g ON g.pid = a.up AND a.ord > g.since AND a.ord <= coalesce(g.until, 9223372036854775807)),
-trees AS (SELECT ord, 's' || (min(root) - 1) AS tree FROM claims ANTI JOIN cut USING (ord, root) GROUP BY ord),
-owned AS (SELECT e.ord, e.pid, coalesce(e.session, t.tree) AS owner FROM v_kev e LEFT JOIN trees t USING (ord))"""
+n AS (SELECT row_number() OVER (ORDER BY ord) AS i, * FROM v_kev),
+pids AS (SELECT CAST(unnest(range(1, (SELECT max(greatest(pid, ppid)) + 1 FROM v_kev))) AS BIGINT) AS pid),
+given AS (SELECT p.pid, CASE WHEN count(k.ord) = 0 THEN -1 ELSE coalesce(arg_max(k.ppid, k.ord) FILTER (k.ppid <> 0), 0) END AS up FROM pids p LEFT JOIN v_kev k ON k.pid = p.pid AND k.kind = 'exec' GROUP BY p.pid),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT list(CAST(up AS BIGINT) ORDER BY pid) FROM given) AS p, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS pid, CAST(NULL AS VARCHAR) AS owner
+  UNION ALL
+  SELECT i, CASE WHEN owner IS NULL OR kind NOT IN ('exec', 'exit') THEN p
+      ELSE list_concat(p[:pid - 1], [CASE WHEN kind = 'exit' THEN -1 WHEN ppid <> 0 THEN ppid ELSE greatest(p[pid], 0) END], p[pid + 1:]) END, ord, pid, owner
+  FROM (
+    SELECT n.i, p, n.ord, n.pid, n.ppid, n.kind, coalesce(n.session, CASE WHEN c[2] < 99 THEN 's' || (c[2] - 1) END) AS owner
+    FROM (
+      SELECT n.*, walk.p, list_reduce(range(0, 40), lambda a, x: [
+          CASE WHEN coalesce(walk.p[a[1]], -1) <= 0 OR walk.p[a[1]] = a[1] THEN 0 ELSE walk.p[a[1]] END,
+          least(a[2], CASE WHEN walk.p[a[1]] BETWEEN (CASE WHEN n.ord <= 700 THEN 1 ELSE 2 END) AND 4 THEN walk.p[a[1]] ELSE 99 END)],
+        [n.pid, CASE WHEN n.pid BETWEEN (CASE WHEN n.ord <= 700 THEN 1 ELSE 2 END) AND 4 THEN n.pid ELSE 99 END]) AS c
+      FROM walk JOIN n ON n.i = walk.i + 1) n)),
+owned AS (SELECT ord, pid, owner FROM walk WHERE i > 0)"""
 
 
 @query("SELECT * FROM owned WHERE owner IS NOT NULL", _OWNED)
@@ -656,7 +662,7 @@ def normalize_findings(spark, sf_dir):
 
 @query()
 def ingress_full(spark, sf_dir):
-    return fi.ingress_findings(fi.with_readings(inputs.attacks(spark, sf_dir)), inputs.POLICY)
+    return fi.ingress_findings(inputs.attacks(spark, sf_dir), inputs.POLICY)
 
 
 @query()
@@ -669,4 +675,4 @@ def nonce_forgery(spark, sf_dir):
     """The nonce of a session is that of its name; every fifth text shows its own."""
     rows = inputs.attacks(spark, sf_dir).withColumn("nonce", t.digest(F.col("session")))
     rows = rows.withColumn("text", F.when(F.col("ord") % 5 == 0, F.concat("text", F.lit(" END-"), "nonce")).otherwise(F.col("text")))
-    return fi.nonce_findings(fi.with_readings(rows))
+    return fi.nonce_findings(rows)

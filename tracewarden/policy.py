@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 #: Budgets that are part of the results.
@@ -38,3 +42,25 @@ class Policy:
 def listed(value: str | None) -> tuple[str, ...]:
     """Entries of a setting that are divided by commas, blanks or tabs."""
     return tuple(x for x in re.split("[, \t]+", value or "") if x)
+
+
+class Rules(NamedTuple):
+    """What a policy says, as columns: of literals where one policy holds for all rows, or of each row's own policy."""
+
+    threshold: Column
+    strict: Column
+    canaries: Column
+    allowed_hosts: Column
+    forbidden_effects: Column
+
+
+def rules(policy: Policy | Rules) -> Rules:
+    if isinstance(policy, Rules):
+        return policy
+    listed_ = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    return Rules(F.lit(policy.block_threshold), F.lit(policy.strict_data), listed_(policy.canaries), listed_(policy.allowed_hosts), listed_(policy.forbidden_effects))
+
+
+def row_rules() -> Rules:
+    """Rules of rows that carry ``policy``, a struct of these fields."""
+    return Rules(*(F.col(f"policy.{c}") for c in ("block_threshold", "strict_data", "canaries", "allowed_hosts", "forbidden_effects")))
