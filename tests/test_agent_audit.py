@@ -1,7 +1,9 @@
 """The audit side: text rules, closure, tools, processes, replay, sources and streams."""
 
 import base64
+import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -70,7 +72,7 @@ def test_data_commands_and_users_ask(spark):
     rows = spark.createDataFrame([("s", 1, "user", text), ("s", 2, "data", text), ("s", 3, "data", "forget my previous token"), ("s", 4, "data", "You must go"), ("s", 5, "data", "PLAIN [inst] x")], "session string, ord long, trust string, text string")
     found = {(r["ord"], r["rule"]) for r in fi.raw_findings(rows, Policy()).collect()}
     assert found == {(2, "data-imperative"), (4, "data-imperative"), (5, "chat-template-marker")}
-    full = {(r["ord"], r["rule"]) for r in fi.ingress_findings(fi.with_readings(rows), Policy()).collect()}
+    full = {(r["ord"], r["rule"]) for r in fi.ingress_findings(rows, Policy()).collect()}
     assert found <= full and not {r for r in full if r[0] == 1}
 
 
@@ -203,11 +205,126 @@ def test_policies_hold_from_their_line_on(spark, tmp_path):
 
 
 def test_an_exit_cuts_off_what_is_below(spark):
-    rows = [(1, None, "exec", 10, 1), (2, None, "exec", 11, 10), (3, None, "exec", 12, 11), (4, None, "open", 12, 11), (5, None, "exit", 11, 10), (6, None, "open", 12, 11), (7, None, "exec", 11, 10), (8, None, "open", 12, 11), (9, None, "open", 10, 1)]
+    rows = [(1, None, "exec", 10, 1), (2, None, "exec", 11, 10), (3, None, "exec", 12, 11), (4, None, "open", 12, 11), (5, None, "exit", 11, 10), (6, None, "open", 12, 11), (7, "s", "exec", 11, 10), (8, None, "open", 12, 11), (9, None, "open", 10, 1)]
     events = spark.createDataFrame(rows, "ord long, session string, kind string, pid long, ppid long")
-    members = process.ancestry(process.edges(events), spark.createDataFrame([(10,)], "root long")).select("pid", F.lit("s").alias("session"), F.col("root").alias("opened"), "path")
-    got = {r["ord"]: r["owner"] for r in process.attributed(events, members).collect()}
-    assert got == {1: "s", 2: "s", 3: "s", 4: "s", 5: "s", 6: None, 7: None, 8: "s", 9: "s"}
+    sessions_ = spark.createDataFrame([("s", 0, None, 10)], "session string, opened long, closed long, root long")
+    got = {r["ord"]: r["owner"] for r in process.attributed(events, sessions_).collect()}
+    assert got == {1: "s", 2: "s", 3: "s", 4: "s", 5: "s", 6: None, 7: "s", 8: "s", 9: "s"}
+
+
+def plain_owners(events, opened, needle):
+    """Event by event: a tree of all execs, that owned execs and exits change."""
+    tree: dict = {}
+
+    def add(pid, ppid, comm, cmdline):
+        node = tree.setdefault(pid, [0, "", ""])
+        node[:] = [ppid or node[0], comm or node[1], cmdline or node[2]]
+
+    for _, _, kind, pid, ppid, comm, cmdline in events:
+        if kind == "exec":
+            add(pid, ppid, comm, cmdline)
+    named = lambda n: needle and (n[1].lower().startswith(needle) or n[2].split(" ")[0].split("/")[-1].lower().startswith(needle))
+    out = {}
+    for at, session, kind, pid, ppid, comm, cmdline in events:
+        for begun, name, ended, root in sorted((o, s, c if c is not None else 1 << 60, r) for s, o, c, r in opened):
+            if session is None and begun < at <= ended:
+                todo, seen = [root] if root else [p for p, n in tree.items() if named(n)], set()
+                while todo:
+                    p = todo.pop()
+                    if p not in seen:
+                        seen.add(p)
+                        todo += [q for q, n in tree.items() if q != p and n[0] == p]
+                session = name if pid in seen else None
+        out[at] = session
+        if session is not None and kind == "exec":
+            add(pid, ppid, comm, cmdline)
+        elif session is not None and kind == "exit":
+            tree.pop(pid, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 4, 6])
+def test_attribution_follows_the_tree_as_it_changes(spark, seed):
+    r = random.Random(seed)
+    n, most = r.choice((40, 90)), r.choice((4, 8, 14))
+    events = [(o, r.choice((None, None, None, "x")), r.choice(("exec", "exec", "exit", "open")), r.randint(1, most), r.randint(0, most), r.choice(("", "sh", "Node", "nod")), r.choice(("", "/bin/node -x", "a b"))) for o in range(1, n)]
+    opened = [(f"s{i}", o := r.randint(-2, n // 2), r.choice((None, o + r.randint(1, n))), r.choice((0, 1, 2, 3))) for i in range(3)]
+    frame = spark.createDataFrame(events, "ord long, session string, kind string, pid long, ppid long, comm string, cmdline string")
+    got = process.attributed(frame, spark.createDataFrame(opened, "session string, opened long, closed long, root long"), "no")
+    assert {x["ord"]: x["owner"] for x in got.collect()} == plain_owners(events, opened, "no")
+
+
+def test_a_chain_of_thousands_is_climbed_in_few_rounds(spark, monkeypatch):
+    rows = [(i, None, "exec", i + 1, i, "", "") for i in range(1, 3001)] + [(4000, None, "open", 3001, 3000, "", ""), (4001, None, "open", 9999, 1, "", "")]
+    events = spark.createDataFrame(rows, "ord long, session string, kind string, pid long, ppid long, comm string, cmdline string").coalesce(2)
+    opened = spark.createDataFrame([("s", 0, None, 1)], "session string, opened long, closed long, root long")
+    seen, checkpoint = [], process.DataFrame.checkpoint
+    monkeypatch.setattr(process.DataFrame, "checkpoint", lambda self, *a: (seen.append(1), checkpoint(self, *a))[1])
+    got = {r["ord"]: r["owner"] for r in process.attributed(events, opened).collect()}
+    assert all(got[k] == "s" for k in [*range(1, 3001), 4000]) and got[4001] is None
+    assert len(seen) < 50
+
+
+def test_a_parent_is_that_of_the_latest_exec(spark, tmp_path):
+    lines = [{"t": "session_open", "session": "a", "root_pid": 1}, {"t": "event", "session": "a", "kind": "exec", "pid": 5, "ppid": 1}, {"t": "event", "kind": "open", "pid": 5}, {"t": "event", "session": "a", "kind": "exec", "pid": 5, "ppid": 99}, {"t": "event", "kind": "open", "pid": 5}]
+    (tmp_path / "p").write_text("\n".join(map(json.dumps, lines)))
+    got = replay.replay(src.read_lines(spark, [str(tmp_path / "p")]))
+    assert sorted(r["ord"] for r in got["events"].collect()) == [2, 3, 4] and [r["ord"] for r in got["drops"].collect()] == [5]
+
+
+def test_sessions_without_a_root_begin_at_a_name(spark, tmp_path):
+    lines = [{"t": "session_open", "session": "a"}, {"t": "event", "kind": "exec", "pid": 5, "ppid": 1, "comm": "Node"}, {"t": "event", "kind": "open", "pid": 6}, {"t": "event", "kind": "exec", "pid": 6, "ppid": 5}]
+    (tmp_path / "p").write_text("\n".join(map(json.dumps, lines)))
+    read = src.read_lines(spark, [str(tmp_path / "p")])
+    assert {r["ord"] for r in replay.replay(read, needle="node")["events"].collect()} == {2, 3, 4}
+    assert replay.replay(read)["drops"].count() == 3
+
+
+@pytest.mark.parametrize("calls", [["buy"], [{"name": "buy", "known": "no"}], [{"name": "buy", "effects": "PAY"}], [{"name": "buy", "effects": None}], [{"effects": ["PAY"]}], [{"name": "buy", "args": ["x"]}], {"name": "buy"}])
+def test_malformed_calls_in_replies_are_wrong_lines(calls):
+    assert src.line(json.dumps({"t": "reply", "session": "a", "text": "x", "tool_calls": calls}))["error"]
+
+
+def test_nonces_in_replies_and_arguments(spark, tmp_path):
+    lines = [{"t": "policy", "forbidden_effects": ["PAY"]}, {"t": "reply", "session": "a", "text": "//{{nonce}}.example/", "tool_calls": [{"name": "buy", "effects": ["PAY"], "args": {"n": {"deep": ["//{{nonce}}.test/", 1.5]}}, "permitted": ["n"]}]}]
+    (tmp_path / "p").write_text("\n".join(map(json.dumps, lines)))
+    got = replay.replay(src.read_lines(spark, [str(tmp_path / "p")]), seed="s")
+    nonce = hashlib.sha256(b"sa").hexdigest()[:16]
+    said = lambda x: hashlib.sha256(x.encode()).hexdigest()[:16]
+    found = {(r["rule"], r["evidence_digest"]) for r in got["findings"].collect()}
+    assert {("url-egress", said(f"{nonce}.example")), ("url-egress", said(f"{nonce}.test")), ("tool-effect-forbidden", said("PAY"))} == found
+
+
+def _fails_on_boom(text, data, nonce, layers, words):
+    seen = c.look(text, data, nonce, layers, words)
+    return {"large": False, "errors": ["ingress"]} if "boom" in text else seen
+
+
+def test_a_layer_that_fails_blocks_its_session_alone(spark, tmp_path):
+    lines = [{"t": "span", "session": s, "trust": "user", "text": x} for s, x in (("a", "boom"), ("b", "fine"))]
+    (tmp_path / "p").write_text("\n".join(map(json.dumps, lines)))
+    got = replay.replay(src.read_lines(spark, [str(tmp_path / "p")]), see=_fails_on_boom)
+    assert [(r["session"], r["layer"], r["rule"], r["severity"], r["invariant"]) for r in got["findings"].collect()] == [("a", "ingress", "layer-error", "critical", True)]
+    assert {r["session"]: r["decision"] for r in got["decisions"].collect()} == {"a": "block", "b": "allow"}
+
+
+def test_a_look_that_raises_is_named(monkeypatch):
+    monkeypatch.setattr(c, "readings", lambda *a: 1 / 0)
+    seen = c.look("You must go", True, "00112233aabbccdd", frozenset(("normalize", "ingress", "provenance")), fi._WORDS)
+    assert seen["errors"] == ["ingress", "provenance"] and seen["depth"] == 0
+    assert c._found(b"x", [b"y"], lambda *a: 1 / 0) is None
+
+
+def test_many_policy_lines_are_one_plan(spark):
+    """Each tenth of 10,000 places changes one field; each place has the last values before it."""
+    rows = [(2 * k, "policy", "low" if k % 3 == 0 else None, k % 2 == 0 if k % 5 == 0 else None, [f"host{k}"] if k % 7 == 0 else None) for k in range(10_000)]
+    lines = spark.createDataFrame(rows, "ord long, t string, block_threshold string, strict_data boolean, allowed_hosts array<string>").withColumn("canaries", F.lit(None).cast("array<string>")).withColumn("forbidden_effects", F.lit(None).cast("array<string>"))
+    points = spark.range(0, 10_000).selectExpr("2 * id + 1 AS ord")
+    got = {r["ord"]: r["policy"] for r in replay.policy_at(points, lines, Policy(forbidden_effects=("PAY",))).collect()}
+    assert len(got) == 10_000
+    for k in (0, 1, 4, 5, 6, 13, 14, 9999):
+        p = got[2 * k + 1]
+        assert (p["block_threshold"], p["strict_data"], p["allowed_hosts"], p["forbidden_effects"]) == ("low", (k // 5 * 5) % 2 == 0, [f"host{k // 7 * 7}"], ["PAY"])
 
 
 def test_a_file_of_many_blocks_and_of_any_bytes(spark, tmp_path):

@@ -311,18 +311,14 @@ def _found(t: bytes, needles: list[bytes], find=finds) -> list[bool] | None:
         return None
 
 
-_needle = cache(needle)
-
-
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def canaries_in(c: pa.Array, canaries: pa.Array) -> pa.Array:
     """The canaries of a row's own list that some reading of its text contains; null where the search raises."""
-    out = []
+    out: list[list[str] | None] = []
+    needles: dict[str, bytes] = {}
     for t, own in zip(_bytes(c), canaries.to_pylist(), strict=True):
-        hit = _found(t, [_needle(x) for x in own or []])
+        hit = _found(t, [needles[x] if x in needles else needles.setdefault(x, needle(x)) for x in own or []])
         out.append(None if hit is None else [x for x, h in zip(own or [], hit, strict=True) if h])
-    if _needle.cache_info().currsize > 1 << 16:
-        _needle.cache_clear()
     return pa.array(out, pa.list_(pa.string()))
 
 

@@ -148,8 +148,7 @@ def nonce_findings(spans: DataFrame) -> DataFrame:
 def canary_findings(rows: DataFrame, policy: Policy | Rules) -> DataFrame:
     """Canaries in any reading of outgoing texts, in one pass; too large a text is a finding of its own, and so is a failing search."""
     large = F.octet_length("text") > TEXT_BYTES
-    canaries = policy.canaries if isinstance(policy, Policy) else policy.canaries
-    rows = closure.with_canaries(rows.withColumn("_t", F.when(large, "").otherwise(F.col("text"))).withColumn("_large", large), canaries, "_t")
+    rows = closure.with_canaries(rows.withColumn("_t", F.when(large, "").otherwise(F.col("text"))).withColumn("_large", large), policy.canaries, "_t")
     kind = "array<struct<rule:string,idx:int,e:string>>"
     item = lambda rule, e, idx=F.lit(0): F.struct(F.lit(rule).alias("rule"), idx.cast("int").alias("idx"), e.alias("e"))  # noqa: E731, B008
     told = F.when(F.col("_large"), F.array(item("output-too-large", F.lit("output exceeds egress budget")))).when(F.col("hits").isNull(), F.array(item("layer-error", F.lit("layer returned non-zero")))).otherwise(F.transform("hits", lambda c, i: item("canary-leak", c, i)).cast(kind))

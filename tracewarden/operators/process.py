@@ -199,6 +199,8 @@ def attributed(events: DataFrame, sessions: DataFrame, needle: str = "") -> Data
     roots_ = first_open(sessions.where("root <> 0"), ["root"]).withColumnRenamed("root", "pid").checkpoint()
     loose = _open_without_root(sessions.where("root = 0")) if needle else None
     free = events.where("session IS NULL").select("ord", "pid", "kind").checkpoint()
+    if free.isEmpty():
+        return events.withColumn("owner", F.col("session"))
     given = moves.where("session IS NOT NULL")
     counted, state = moves, None
     while True:

@@ -13,7 +13,7 @@ from ..operators import findings as fi
 from ..operators import ordered, process, sessions, tools
 from ..policy import RING, VIEW_EVENTS, VIEW_FINDINGS, Policy
 from ..sources import lines
-from . import inputs, stream
+from . import inputs, replay, stream
 
 UP, LOW = t.UPPER, t.LOWER
 NONCE = "00112233aabbccdd"
@@ -391,6 +391,33 @@ def unowned_drops(spark, sf_dir):
     return _attributed(spark, sf_dir).where("owner IS NULL").groupBy("pid").agg(F.count("*").alias("drops"))
 
 
+_RUN = f"""{CALLS},
+said AS (
+  SELECT event_id * 4 + 1 AS ord, 'tool_call' AS t, 'c' || user_id AS session, event_id, CAST(NULL AS VARCHAR[]) AS forbidden FROM events
+  UNION ALL SELECT event_id * 4, 'policy', NULL, event_id, CASE WHEN event_id % 40 = 0 THEN ['PAY'] WHEN event_id % 60 = 0 THEN ['READ', 'PAY'] END FROM events WHERE event_id % 20 = 0
+  UNION ALL SELECT event_id * 4 + 2, 'span', 'c' || user_id, event_id, NULL FROM events WHERE event_id % 37 = 0),
+run AS (SELECT row_number() OVER (ORDER BY ord) AS place, * FROM said),
+tainting AS (SELECT session, min(place) AS first FROM run WHERE t = 'span' GROUP BY session),
+called AS (
+  SELECT r.session, r.place, c.*, coalesce(x.first < r.place, false) AS influenced, coalesce(p.forbidden, []) AS forbidden
+  FROM run r JOIN v_calls c ON c.call_id = r.event_id LEFT JOIN tainting x ON x.session = r.session
+  ASOF LEFT JOIN (SELECT place, forbidden FROM run WHERE forbidden IS NOT NULL) p ON p.place < r.place WHERE r.t = 'tool_call'),
+judged AS (
+  SELECT session, place AS inspection, CASE WHEN NOT known THEN 1 ELSE
+    len(list_filter(CASE WHEN name = 'buy' THEN ['PAY', 'READ'] ELSE ['READ'] END, lambda f: list_contains(forbidden, f)))
+    + CAST(call_id % 4 = 0 AS BIGINT) + CAST(call_id % 5 = 0 AS BIGINT) + CAST(call_id % 7 = 0 AS BIGINT)
+    + CAST(name = 'send_email' AND influenced AS BIGINT) + CAST(NOT user_confirmed AS BIGINT)
+    + CAST(call_id % 5 = 0 OR event_type <> 'click' AS BIGINT) END AS invariant_n FROM called)"""
+
+
+@query("""SELECT session, inspection, CASE WHEN invariant_n > 0 THEN 'block' ELSE 'allow' END AS decision, CAST(invariant_n AS BIGINT) AS invariant_n, CAST(1 AS BIGINT) AS scored_n FROM judged
+UNION ALL SELECT DISTINCT session, CAST(1 AS BIGINT) << 62, 'allow', CAST(0 AS BIGINT), CAST(3 AS BIGINT) FROM run WHERE session IS NOT NULL""", _RUN)
+def replay_decisions(spark, sf_dir):
+    """A whole run with policies that change on its way, under the tool layer alone: its other layers are notes."""
+    run = replay.replay(inputs.program(spark, sf_dir), default=Policy(layers=frozenset({"toolauth"})))
+    return run["decisions"]
+
+
 @query("SELECT pid, coalesce(arg_max(ppid, ord) FILTER (ppid <> 0), 0) AS ppid, arg_max(comm, ord) FILTER (comm <> '') AS comm, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, arg_max(kind, ord) <> 'exit' AS alive FROM v_kev GROUP BY pid", KEV)
 def proc_nodes(spark, sf_dir):
     return process.nodes(inputs.kernel_events(spark, sf_dir))

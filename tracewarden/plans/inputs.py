@@ -87,3 +87,18 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(name == "buy", words("PAY", "READ")).otherwise(words("READ")).alias("effects"),
         F.when(name == "send_email", words("NO_UNTRUSTED_INFLUENCE", "USER_CONFIRMED")).otherwise(words("USER_CONFIRMED")).alias("guards"),
     )
+
+
+def program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of a run: a tool call each, policies that change what is forbidden, and data that taints."""
+    from ..sources.lines import LINE
+
+    e = F.col("event_id")
+    events = read(spark, sf_dir, "events")
+    called = calls(spark, sf_dir).select("session", (F.col("ord") * 4 + 1).alias("ord"), F.lit("tool_call").alias("t"), "name", "known", "user_confirmed", "args", "permitted", "required", "allow", "effects", "guards")
+    rules = events.where(e % 20 == 0).select((e * 4).alias("ord"), F.lit("policy").alias("t"), F.when(e % 40 == 0, F.array(F.lit("PAY"))).when(e % 60 == 0, F.array(F.lit("READ"), F.lit("PAY"))).alias("forbidden_effects"))
+    data = events.where(e % 37 == 0).select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("session"), (e * 4 + 2).alias("ord"), F.lit("span").alias("t"), F.lit("data").alias("trust"), F.lit("tool").alias("channel"), F.lit("").alias("ref"), F.lit("").alias("role"), F.col("event_type").alias("text"))
+    rows = spark.createDataFrame([], LINE)
+    for part in (called, rules, data):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.withColumn("file", F.lit(0)).withColumn("lineno", F.col("ord"))

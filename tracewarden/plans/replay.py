@@ -7,31 +7,36 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import closure
 from ..functions import text as t
 from ..operators import findings as fi
 from ..operators import process, tools
-from ..operators.ordered import numbered, shared_folder
+from ..operators.ordered import numbered, running_max, shared_folder
 from ..operators.sessions import tainted, valid_spans
-from ..policy import LAYERS, Policy
+from ..policy import LAYERS, Policy, row_rules, rules
 
 #: Where sessions that nothing closes are inspected: after every line.
 END = 1 << 62
 INBOUND, OUTBOUND = LAYERS[:3], LAYERS[3:]
-_BLANK = "array<string>"
+#: What a run's texts and arguments say where their session's nonce is meant.
+NONCE = "{{nonce}}"
 
 
-def policies(lines: DataFrame, default: Policy | None = None) -> list[tuple[int, Policy]]:
-    """Policies with the place (``ord``) from which each holds, the first from 0. A line changes what it names.
+_LISTS = ("canaries", "allowed_hosts", "forbidden_effects")
 
-    Policy lines come to the driver: they are written by hand.
+
+def policy_at(points: DataFrame, lines: DataFrame, default: Policy) -> DataFrame:
+    """(ord, policy) of each place ``ord`` of ``points``: the default, changed by the policy lines before it.
+
+    A line changes what it names, so each field is that of the latest line that names it: a running value over places and
+    lines in one order, which is laid out in ranges however many lines there are.
     """
-    names = ("canaries", "allowed_hosts", "forbidden_effects")
-    out = [(0, default or Policy())]
-    for row in lines.where("t = 'policy'").orderBy("ord").select("ord", "block_threshold", "strict_data", *names).collect():
-        last = out[-1][1]
-        held = {k: row[k] if row[k] is not None else getattr(last, k) for k in ("block_threshold", "strict_data")}
-        out.append((row["ord"], Policy(**held, **{k: tuple(row[k] if row[k] is not None else getattr(last, k)) for k in names}, layers=last.layers)))
-    return out
+    fields = ("block_threshold", "strict_data", *_LISTS)
+    given = lines.where("t = 'policy'").select("ord", *fields)
+    rows = points.select("ord").distinct().withColumn("_at", F.lit(True)).unionByName(given, allowMissingColumns=True)
+    rows = running_max(rows, [F.col("ord")], {f"_{c}": F.when(F.col(c).isNotNull(), F.struct("ord", c)) for c in fields}).where("_at")
+    initial = dict(zip(("block_threshold", "strict_data", *_LISTS), (x for x in (rules(default).threshold, rules(default).strict, *rules(default)[2:])), strict=True))
+    return rows.select("ord", F.struct(*(F.coalesce(F.col(f"_{c}.{c}"), initial[c]).alias(c) for c in fields)).alias("policy"))
 
 
 def nonces(lines: DataFrame, seed: str) -> DataFrame:
@@ -40,69 +45,81 @@ def nonces(lines: DataFrame, seed: str) -> DataFrame:
     return known.select("session", t.digest(F.concat(F.lit(seed), "session")).alias("nonce"))
 
 
-def _calls(replies: DataFrame) -> DataFrame:
-    """Tool calls inside replies, as lines of their own would give them."""
-    kind = "name string, known boolean, user_confirmed boolean, args map<string,string>, permitted array<string>, required array<string>, allow array<string>, effects array<string>, guards array<string>"
-    inner = replies.select("session", "ord", F.explode(F.transform("tool_calls", lambda c: F.from_json(c, kind))).alias("c"))
-    args = F.transform(F.map_entries("c.args"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-    none = F.array().cast("array<struct<k:string,v:string>>")
-    lists = [F.coalesce(f"c.{a}", F.array().cast(_BLANK)).alias(a) for a in ("permitted", "required", "allow", "effects", "guards")]
-    return inner.select("session", "ord", "c.name", F.coalesce("c.known", F.lit(True)).alias("known"), F.coalesce("c.user_confirmed", F.lit(False)).alias("user_confirmed"), F.coalesce(args, none).alias("args"), *lists)
+_CALL = ("name", "known", "user_confirmed", "args", "permitted", "required", "allow", "effects", "guards")
+
+
+def _calls(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Tool calls of lines of their own and inside replies, with the session's nonce in place of ``{{nonce}}`` in arguments.
 
+    Calls of one reply keep their place in it (``call``)."""
+    own = lines.where("t = 'tool_call'").select("session", "ord", F.lit(0).alias("call"), *_CALL)
+    inner = lines.where("t = 'reply'").select("session", "ord", F.posexplode("tool_calls").alias("call", "c")).select("session", "ord", "call", *(F.col(f"c.{c}").alias(c) for c in _CALL))
+    rows = own.unionByName(inner).join(names, "session")
+    args = F.transform("args", lambda a: F.struct(a["k"].alias("k"), F.replace(a["v"], F.lit(NONCE), F.col("nonce")).alias("v")))
+    return rows.withColumn("args", args).drop("nonce")
 
-def replay(lines: DataFrame, seed: str = "", policy: Policy | None = None) -> dict[str, DataFrame]:
+
+def replay(lines: DataFrame, seed: str = "", policy: Policy | None = None, needle: str = "", default: Policy | None = None, see=closure.look) -> dict[str, DataFrame]:
     """Tables of a run: spans, events, drops, findings (with ``inspection``: the place of the line that was inspected),
     decisions for each inspection, and sessions. ``ord`` is everywhere the place of a line in the whole run.
 
     ``lines`` are good lines as ``sources.lines.read_lines`` gives them, in order of (ord, file, lineno). A closing line
     inspects all spans of its session, sessions that are never closed are inspected at the end. Each inspection goes by the
-    policy that holds at its place; with ``policy`` all go by that one.
+    policy that holds at its place: ``default`` and what policy lines before it change; with ``policy`` all go by that one.
+    Sessions without a root process begin at those whose name begins with ``needle``. Texts are looked at once, by ``see``.
     """
     shared_folder(lines.sparkSession)
+    base = policy or default or Policy()
     placed = numbered(lines.where("error IS NULL"), [F.col(c) for c in ("ord", "file", "lineno")], "at")
     lines = placed.drop("ord").withColumnRenamed("at", "ord").checkpoint()
-    rules = [(0, policy)] if policy else policies(lines)
-    names = nonces(lines, seed)
-    spans = valid_spans(lines.where("t = 'span'")).join(names, "session").withColumn("text", F.replace("text", F.lit("{{nonce}}"), F.col("nonce"))).select("session", "ord", "trust", "role", "channel", "ref", "text", "nonce")
+    names = nonces(lines, seed).checkpoint()
+    told = lambda c: F.replace(c, F.lit(NONCE), F.col("nonce"))
+    spans = valid_spans(lines.where("t = 'span'")).join(names, "session").withColumn("text", told("text")).select("session", "ord", "trust", "role", "channel", "ref", "text", "nonce")
     spans = numbered(spans, [F.col("session"), F.col("ord")], "_n")
     begun = spans.groupBy("session").agg(F.min("_n").alias("_b"))
     spans = spans.join(begun, "session").withColumn("span_index", (F.col("_n") - F.col("_b")).cast("int")).drop("_n", "_b").checkpoint()
-    opened = lines.where("t <> 'policy' AND session IS NOT NULL").groupBy("session").agg(F.min("ord").alias("opened"), F.max("root_pid").alias("root"), F.max(F.when(F.col("t") == "session_open", F.col("harness"))).alias("harness"))
+    closed = lines.where("t = 'session_close'").groupBy("session").agg(F.max("ord").alias("closed"))
+    opened = lines.where("t <> 'policy' AND session IS NOT NULL").groupBy("session").agg(F.min("ord").alias("opened"), F.coalesce(F.max("root_pid"), F.lit(0).cast("long")).alias("root"), F.max(F.when(F.col("t") == "session_open", F.col("harness"))).alias("harness"))
+    opened = opened.join(closed, "session", "left").checkpoint()
     raw = lines.where("t = 'event'").select("session", "ord", "kind", "ts", "pid", "ppid", "comm", "cmdline", "filename", "flags", "dirfd", "port", "addr")
-    below = process.ancestry(process.edges(raw), opened.where("root > 0").select("root").distinct())
-    members = below.join(opened, "root").select("pid", "session", "opened", "path")
-    owned = process.attributed(raw, members).checkpoint()
+    owned = process.attributed(raw, opened.select("session", "opened", "closed", "root"), needle).checkpoint()
     drops = owned.where("owner IS NULL").drop("owner")
     events = tainted(owned.where("owner IS NOT NULL").drop("session").withColumnRenamed("owner", "session"), spans, inclusive=False)
-    events = events.join(process.durations(raw).select("ord", "duration"), "ord", "left")
+    events = events.join(process.durations(events).select("ord", "duration"), "ord", "left")
 
-    closed = lines.where("t = 'session_close'").groupBy("session").agg(F.max("ord").alias("closed"))
     closing = names.select("session").join(closed, "session", "left").select("session", F.coalesce("closed", F.lit(END)).alias("inspection"))
-    calls = lines.where("t = 'tool_call'").select("session", "ord", "name", "known", "user_confirmed", "args", "permitted", "required", "allow", "effects", "guards")
-    replies = lines.where("t = 'reply'").select("session", "ord", "text", "tool_calls")
-    all_calls = tainted(calls.unionByName(_calls(replies)), spans, inclusive=False)
-    outgoing = replies.select("session", "ord", "text").unionByName(all_calls.select("session", "ord", F.explode("args").alias("a")).select("session", "ord", F.col("a.v").alias("text")))
-    read = fi.with_readings(spans.join(closing, "session"))
-    leaving = replies.select("session", F.col("ord").alias("inspection")).unionByName(calls.select("session", F.col("ord").alias("inspection")))
-    found, decided = [], []
-    for k, (begin, rule) in enumerate(rules):
-        until = rules[k + 1][0] if k + 1 < len(rules) else END + 1
-        within = lambda df, c: df.where(F.col(c).between(begin, until - 1))  # noqa: B023, E731
-        mine = within(read, "inspection")
-        inward = fi.union([fi.normalize_findings(mine), fi.ingress_findings(mine, rule), fi.nonce_findings(mine)]).join(spans.select("session", "ord", "span_index"), ["session", "ord"]).join(closing, "session")
-        outward = fi.union([tools.authorise(within(all_calls, "ord"), rule), fi.canary_findings(within(outgoing, "ord"), rule), fi.url_egress(within(outgoing, "ord"), rule)]).withColumn("span_index", F.lit(-1)).withColumn("inspection", F.col("ord"))
-        noted = [fi.disabled(within(which, "inspection").withColumn("ord", F.col("inspection")), rule, layers).withColumn("span_index", F.lit(-1)).withColumn("inspection", F.col("ord")) for which, layers in ((closing, INBOUND), (leaving, OUTBOUND))]
-        some = fi.escalated(inward.unionByName(outward), rule.strict_data).where(F.col("layer").isin(*rule.layers))
-        some = reduce(DataFrame.unionByName, noted, some).checkpoint()
-        found.append(some)
-        decided.append(fi.decide(some.withColumn("key", F.struct("session", "inspection")), rule.block_threshold, "key"))
-    found, decided = fi.union(found), fi.union(decided)
+    replies = lines.where("t = 'reply'").join(names, "session").select("session", "ord", told("text").alias("text"))
+    calls = tainted(_calls(lines, names), spans, inclusive=False).checkpoint()
+    leaving = lines.where("t IN ('reply', 'tool_call')").select("session", F.col("ord").alias("inspection"))
+    inspections = leaving.unionByName(closing).distinct().checkpoint()
+    if policy:
+        one = rules(policy)
+        held = inspections.select(F.col("inspection").alias("ord")).distinct().withColumn("policy", F.struct(one.threshold.alias("block_threshold"), one.strict.alias("strict_data"), *(c.alias(n) for c, n in zip(one[2:], _LISTS, strict=True))))
+    else:
+        held = policy_at(inspections.select(F.col("inspection").alias("ord")), lines, base)
+    held = held.withColumnRenamed("ord", "inspection").checkpoint()
+    by = row_rules()
+    outgoing = replies.unionByName(calls.select("session", "ord", F.explode("args").alias("a")).select("session", "ord", F.col("a.v").alias("text")))
+    at_place = lambda df: df.withColumn("inspection", F.col("ord")).join(held, "inspection")
+    inbound = tuple(x for x in INBOUND if x in base.layers)
+    said = spans.join(closing, "session").join(held, "inspection")
+    inward = fi.inbound_findings(said, by, inbound, see).join(spans.select("session", "ord", "span_index"), ["session", "ord"]).join(closing, "session")
+    outward = []
+    if "toolauth" in base.layers:
+        outward.append(tools.authorise(at_place(calls), by))
+    if "egress" in base.layers:
+        sent = at_place(outgoing).checkpoint()
+        outward += [fi.canary_findings(sent, by), fi.url_egress(sent, by)]
+    noted = [fi.disabled(which.withColumn("ord", F.col("inspection")), base, layers) for which, layers in ((closing, INBOUND), (leaving, OUTBOUND))]
+    outer = fi.union([*outward, *noted]).withColumn("span_index", F.lit(-1)).withColumn("inspection", F.col("ord"))
+    found = inward.unionByName(outer).join(held, "inspection")
+    found = fi.escalated(found, by.strict).checkpoint()
+    decided = fi.decide(found.withColumn("key", F.struct("session", "inspection")), by.threshold, "key")
     marks = spans.where("trust = 'data'").groupBy("session").agg(F.min("ord").alias("_first"))
-    found = found.join(marks, "session", "left").withColumn("tainted", F.coalesce(F.col("_first") < F.col("inspection"), F.lit(False))).drop("_first").withColumn("provenance", F.lit("declared"))
-    inspections = leaving.unionByName(closing).distinct()
+    found = found.drop("policy").join(marks, "session", "left").withColumn("tainted", F.coalesce(F.col("_first") < F.col("inspection"), F.lit(False))).drop("_first").withColumn("provenance", F.lit("declared"))
     decisions = inspections.join(decided.select("key.session", "key.inspection", "decision", "invariant_n", "scored_n"), ["session", "inspection"], "left").select("session", "inspection", F.coalesce("decision", F.lit("allow")).alias("decision"), F.coalesce("invariant_n", F.lit(0)).alias("invariant_n"), F.coalesce("scored_n", F.lit(0)).alias("scored_n"))
     count = lambda df, name: df.groupBy("session").agg(F.count("*").alias(name))
-    folded = opened.select("session", "opened", F.coalesce("root", F.lit(0)).alias("root_pid"), F.coalesce("harness", F.lit("replay")).alias("harness")).join(closing, "session").join(marks.select("session", F.lit(True).alias("tainted")), "session", "left")
+    folded = opened.select("session", "opened", F.col("root").alias("root_pid"), F.coalesce("harness", F.lit("replay")).alias("harness")).join(closing, "session").join(marks.select("session", F.lit(True).alias("tainted")), "session", "left")
     for df, name in ((events, "events"), (found, "findings"), (decisions.where("decision = 'block'"), "blocks")):
         folded = folded.join(count(df, name), "session", "left")
     return {"spans": spans, "events": events, "drops": drops, "findings": found, "decisions": decisions, "sessions": folded.na.fill({"events": 0, "findings": 0, "blocks": 0, "tainted": False})}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sessions import trust_of
+from ..policy import Policy
 
 #: How deep JSON may nest, and the kinds of a line and of an event.
 DEPTH = 64
@@ -25,7 +26,7 @@ LINE = (
     "t string, ord long, session string, harness string, root_pid long, trust string, role string, channel string, ref string, text string, "
     "kind string, ts long, pid long, ppid long, comm string, cmdline string, filename string, flags long, dirfd int, port int, addr string, "
     "name string, known boolean, user_confirmed boolean, args array<struct<k:string,v:string>>, permitted array<string>, required array<string>, "
-    "allow array<string>, effects array<string>, guards array<string>, tool_calls array<string>, block_threshold string, strict_data boolean, "
+    "allow array<string>, effects array<string>, guards array<string>, tool_calls array<struct<name:string,known:boolean,user_confirmed:boolean,args:array<struct<k:string,v:string>>,permitted:array<string>,required:array<string>,allow:array<string>,effects:array<string>,guards:array<string>>>, block_threshold string, strict_data boolean, "
     "canaries array<string>, allowed_hosts array<string>, forbidden_effects array<string>, error string"
 )
 _DEFAULTS = {"harness": "replay", "role": "", "root_pid": 0, "ppid": 0, "ts": 0, "comm": "", "cmdline": "", "filename": "", "flags": 0, "dirfd": -100, "port": 0, "addr": "", "known": True, "user_confirmed": False}
@@ -130,13 +131,32 @@ def _strings(value: dict, name: str) -> list[str]:
     return got
 
 
-def _call(value: dict) -> dict:
+def _call(value) -> dict:
+    """A tool call with its contract. What has the wrong type, null included, is an error: a guard that can't be read must not be passed over."""
+    if not isinstance(value, dict):
+        raise Bad("a tool call is an object")
+    for k in ("name", "known", "args", "permitted", "required", "allow", "effects", "guards"):
+        if k in value and value[k] is None:
+            raise Bad(f"{k} has the wrong type")
+    if value.get("name") is None:
+        raise Bad("name is missing")
     args = _typed(value, "args", dict, {})
     spelt = [{"k": k, "v": v if isinstance(v, str) else flatten(v)} for k, v in args.items()]
     out = {k: _strings(value, k) for k in ("permitted", "required", "allow", "effects", "guards")}
     return out | {"args": spelt, "known": _typed(value, "known", bool, True), "user_confirmed": _typed(value, "user_confirmed", bool, False), "name": _typed(value, "name", str)}
 
 
+def _policy(value: dict) -> dict:
+    """What a policy line changes: fields that it doesn't name are null."""
+    out = {"block_threshold": _typed(value, "block_threshold", str), "strict_data": _typed(value, "strict_data", bool)}
+    out |= {k: _strings(value, k) if value.get(k) is not None else None for k in ("canaries", "allowed_hosts", "forbidden_effects")}
+    try:
+        Policy(canaries=tuple(out["canaries"] or ()), block_threshold=out["block_threshold"] or "high")
+    except ValueError as e:
+        raise Bad(str(e)) from None
+    return out | {"block_threshold": out["block_threshold"] and out["block_threshold"].lower()}
+
+
 def line(text: str) -> dict:
     """Fields of a line by its kind, with defaults; ``error`` where it can't be taken."""
     try:
@@ -152,7 +172,7 @@ def line(text: str) -> dict:
             if out["session"] is None and t != "event":
                 raise Bad("session is missing")
         if t == "policy":
-            out |= {"block_threshold": _typed(value, "block_threshold", str), "strict_data": _typed(value, "strict_data", bool)} | {k: _strings(value, k) if value.get(k) is not None else None for k in ("canaries", "allowed_hosts", "forbidden_effects")}
+            out |= _policy(value)
         elif t == "session_open":
             out |= {"root_pid": _typed(value, "root_pid", int, 0), "harness": _typed(value, "harness", str, "replay")}
         elif t == "span":
@@ -172,7 +192,7 @@ def line(text: str) -> dict:
         elif t == "tool_call":
             out |= _call(value)
         elif t == "reply":
-            out |= {"text": _typed(value, "text", str), "tool_calls": [json.dumps(x) for x in _typed(value, "tool_calls", list, [])]}
+            out |= {"text": _typed(value, "text", str), "tool_calls": [_call(x) for x in _typed(value, "tool_calls", list, [])]}
             if out["text"] is None:
                 raise Bad("a reply needs a text")
         return out
