@@ -30,9 +30,19 @@ def tainted(rows: DataFrame, spans: DataFrame, inclusive: bool = True) -> DataFr
 
 def taint_origins(spans: DataFrame) -> DataFrame:
     """Sessions with data spans: their number, and the origins in order."""
-    data = spans.where(F.col("trust") == "data").groupBy("session").agg(F.count("*").alias("data_spans"), F.array_sort(F.collect_set(F.struct("ord", "channel", "ref"))).alias("o"))
+    return taint_summary(spans.withColumn("shaped", F.lit(False))).where("data_spans > 0").select("session", "data_spans", "origins")
+
+
+def taint_summary(spans: DataFrame) -> DataFrame:
+    """Every session: its spans, its data spans, their origins in order, and whether one is ``shaped``.
+
+    One aggregate, pre-aggregated before its shuffle. The list of origins is what is asked for; it holds no text.
+    """
+    data = F.col("trust") == "data"
+    origin = F.when(data, F.struct("ord", "channel", "ref"))
+    rows = spans.groupBy("session").agg(F.count("*").alias("spans"), F.count_if(data).alias("data_spans"), F.array_sort(F.collect_set(origin)).alias("o"), F.bool_or(data & F.col("shaped")).alias("shaped"))
     listed = F.array_join(F.transform("o", lambda x: F.concat_ws(":", x["channel"], x["ref"])), ",")
-    return data.select("session", "data_spans", listed.alias("origins"))
+    return rows.select("session", "spans", "data_spans", listed.alias("origins"), "shaped")
 
 
 def fenced(spans: DataFrame, nonce: Column, capacity: int | None = None) -> DataFrame:

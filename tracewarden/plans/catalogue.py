@@ -137,12 +137,12 @@ FROM v_spans v JOIN (SELECT session, string_agg(channel || ':' || ref, ',' ORDER
 LEFT JOIN (SELECT session, 'block' AS decision FROM (SELECT session, """ + _low("text") + """ AS l FROM v_spans WHERE trust = 'data') WHERE """ + _IMPERATIVE + """ GROUP BY session) d USING (session)
 GROUP BY v.session, f.origins, d.decision""", SPANS)
 def tainted_sessions(spark, sf_dir):
+    """One pass over the texts gives each span what it adds to its session; everything else is one small aggregate."""
     rows = inputs.spans(spark, sf_dir)
-    low = t.lower_ascii(F.col("text"))
-    imperative = fi.finding(rows.where(F.col("trust") == "data").where(fi.instruction_shaped(low, low)), "ingress", "data-imperative", "medium", True, F.col("text"))
-    decided = fi.decide(imperative).select("session", "decision")
-    counts = rows.groupBy("session").agg(F.count("*").alias("spans"))
-    return counts.join(sessions.taint_origins(rows), "session").join(decided, "session", "left").select("session", "spans", "data_spans", "origins", F.coalesce("decision", F.lit("allow")).alias("decision"))
+    data = F.col("trust") == "data"
+    rows = rows.select("session", "ord", "trust", "channel", "ref", F.explode(F.array(t.lower_ascii(F.when(data, F.col("text"))))).alias("low"))
+    shaped = F.coalesce(fi.instruction_shaped(F.col("low"), F.col("low")), F.lit(False))
+    return sessions.taint_summary(rows.withColumn("shaped", shaped)).where("data_spans > 0").select("session", "spans", "data_spans", "origins", F.when(F.col("shaped"), "block").otherwise("allow").alias("decision"))
 
 
 @query("SELECT session, ord, role, trust FROM v_spans", SPANS)
@@ -226,8 +226,8 @@ def peel_hex_wellformed(spark, sf_dir):
 
 @query(f"SELECT ord, {_IMPERATIVE} AS shaped FROM (SELECT ord, {_low('text')} AS l FROM v_attacks)", ATTACKS)
 def ingress_raw(spark, sf_dir):
-    low = t.lower_ascii(F.col("text"))
-    return _attack_spans(spark, sf_dir).select("ord", fi.instruction_shaped(low, low).alias("shaped"))
+    rows = _attack_spans(spark, sf_dir).select("ord", F.explode(F.array(t.lower_ascii(F.col("text")))).alias("low"))
+    return rows.select("ord", fi.instruction_shaped(F.col("low"), F.col("low")).alias("shaped"))
 
 
 @query("SELECT ord, evidence_digest FROM findings WHERE rule = 'chat-template-marker'", FINDINGS)
