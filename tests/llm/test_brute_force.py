@@ -478,3 +478,26 @@ def test_stages_of_the_pipeline(spark):
         assert not re.search(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}", r["text"]) and r["n_chars"] == len(r["text"])
         if not re.search(r"\d\d", text):
             assert r["text"] == text
+
+
+def test_ties_go_to_smaller_places():
+    """Integer vectors have many equal products: with everything ranked, the answer is the plain order by product and place."""
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        x = rng.integers(0, 3, (int(rng.integers(30, 200)), 4)).astype(float)
+        x[(x == 0).all(axis=1)] = 1.0
+        block = permutations.Block(x, float(np.linalg.norm(x, axis=1).max()), x[:8], 8)
+        q = x[int(rng.integers(len(x)))]
+        (places, scores), = block.search(q[None, :], 10, 1.0)
+        want = sorted(range(len(x)), key=lambda i: (-float((x[i] * q).sum()), i))[:10]
+        assert places.tolist() == want and scores.tolist() == [float((x[i] * q).sum()) for i in want]
+        near, _ = block.search(q[None, :], 10, 0.2)[0]
+        assert len(near) == 10
+
+
+def test_ties_of_a_table_go_to_smaller_ids(spark):
+    vectors = [(i, [float(i % 2 + 1), float(i % 3), float(i % 5), 1.0]) for i in range(2000)]
+    got = permutations.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), part=1.0).where("query_id IN (0, 20, 1980)").collect()
+    for q in (0, 20, 1980):
+        want = sorted((i for i in range(2000) if i != q), key=lambda i: (-sum(a * b for a, b in zip(vectors[i][1], vectors[q][1], strict=True)), i))[:20]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want

@@ -56,12 +56,15 @@ class Block:
                 shared = np.zeros(n, np.uint16)
                 for p, w in zip(mine, self.weights, strict=True):
                     shared += np.minimum(self.lists[p], w)
-                chosen = np.argsort(shared, kind="stable")[n - most :]  # of ties the later places
+                # All that are as near as the last one to be ranked: no cut through equal distances.
+                chosen = np.flatnonzero(shared >= np.partition(shared, n - most)[n - most])
             else:
                 chosen = np.arange(n)
             score = (self.x[chosen] * q).sum(axis=1)  # the same for equal vectors, wherever they stand
-            best = np.argsort(-score, kind="stable")[:k] if len(score) <= k else np.argpartition(-score, k - 1)[:k]
-            best = best[np.lexsort((chosen[best], -score[best]))]
+            # All scores that reach the k-th, then by score and place, which is that of the id.
+            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -np.inf
+            best = np.flatnonzero(score >= least)
+            best = best[np.lexsort((chosen[best], -score[best]))][:k]
             out.append((chosen[best], score[best]))
         return out
 
@@ -87,7 +90,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embeddin
     Equal vectors are searched once, as query and as candidate, and keep their k + 1 smallest ids; so a
     vector that very many rows share costs as much as another. Rows are hashed to blocks, queries to
     chunks, and each pair of these is a task of bounded memory. A repeated row is one
-    row; ties in footrule distance are cut by place in the block, ties in score by id. An id with several vectors is as many candidates and queries, and may stand there more than once. Unusable vectors (see ``distinct_vectors``) give no rows, nor does an
+    row; ties in footrule distance are all ranked anew, ties in score among what is ranked go to the smaller id. An id with several vectors is as many candidates and queries, and may stand there more than once. Unusable vectors (see ``distinct_vectors``) give no rows, nor does an
     empty table; fewer candidates than k give them all. Other columns of ``df`` are left out.
     """
     shared_folder(df.sparkSession)
