@@ -8,6 +8,7 @@ exactly, as texts. Scores and subsumption are joins of the frequent phrases alon
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .components import shared_folder
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: What a score is scaled by, and the share (in hundredths) of a phrase's places from which a longer one stands for it.
 SCALE, SHARE = 2_000_000, 80
-#: Rows of the sketch, and bounds on the bits of a row's width. Between them a row has a cell for 64 to 128 bytes of text.
+#: Rows of the sketch, and bounds on the bits of a row's width. Between them a row has a cell for 32 to 64 bytes of text.
 DEPTH, NARROWEST, WIDEST = 3, 16, 27
 #: Cells of a piece of the sketch, the unit that is merged.
 PIECE = 1 << 16
@@ -76,6 +77,16 @@ def _cells(h: np.ndarray, width: int, row: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(2 * row + 1) + h) & np.uint64(width - 1)).astype(np.int64)
 
 
+def _add(sketch: np.ndarray, cells: np.ndarray, counts: np.ndarray, most: int) -> None:
+    """Add counts (of one byte) to cells, of which several may be the same; what would pass ``most`` stays there."""
+    both = np.sort((cells.astype(np.uint64) << np.uint64(8)) | counts)
+    at = (both >> np.uint64(8)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    if len(first):
+        sums = np.add.reduceat((both & np.uint64(255)).astype(np.uint32), first)
+        sketch[at[first]] = np.minimum(sketch[at[first]] + sums, most)
+
+
 def _blocks(batches) -> Iterator[Block]:
     """Blocks of batches (lang, text)."""
     for part in chunks(batches, 1, BLOCK):
@@ -86,32 +97,30 @@ def _blocks(batches) -> Iterator[Block]:
 
 def width_for(n_bytes: int) -> int:
     """Cells of a row of the sketch for texts of so many bytes. It decides how many phrases survive, never what is found."""
-    return 1 << min(WIDEST, max(NARROWEST, (max(n_bytes, 1) // 128).bit_length()))
+    return 1 << min(WIDEST, max(NARROWEST, (max(n_bytes, 1) // 64).bit_length()))
 
 
 def survivors(texts: DataFrame, least: int, width: int, sketches: int) -> dict[tuple[int, int], bytes]:
     """A bit for each cell of the merged sketch of texts (lang, text): whether it counts ``least`` or more; by row and piece.
 
     A sketch is that of a share of the partitions, ``sketches`` of them at most. It goes out in pieces, of which each is merged by
-    itself. Its size is ``width`` and so bounded. Cells stop at ``least`` between blocks, as more says no more.
+    itself. Its size is ``width`` and so bounded. Cells stop at ``least`` (or at 255, where it is greater), as more says no more.
     """
     most = min(least, 255)
 
     def add(batches):
-        sketch = np.zeros((DEPTH, width), np.uint16)
+        sketch = np.zeros((DEPTH, width), np.uint8)
         for block in _blocks(batches):
             for _, _, h in block.hashed():
                 distinct, counts = np.unique(h, return_counts=True)
-                counts = np.minimum(counts, most).astype(np.uint16)
-                del h
+                counts = np.minimum(counts, most).astype(np.uint64)
                 for row in range(DEPTH):
-                    np.add.at(sketch[row], _cells(distinct, width, row), counts)
-                    np.minimum(sketch[row], most, out=sketch[row])
+                    _add(sketch[row], _cells(distinct, width, row), counts, most)
         for row in range(DEPTH):
             for k in range(0, width, PIECE):
                 cells = sketch[row, k : k + PIECE]
                 if cells.any():
-                    kept = cells.astype(np.uint8).tobytes()
+                    kept = zlib.compress(cells.tobytes(), 1)
                     yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k // PIECE], pa.int32()), pa.array([kept], pa.binary())], ["row", "piece", "cells"])
         released()
 
@@ -119,7 +128,7 @@ def survivors(texts: DataFrame, least: int, width: int, sketches: int) -> dict[t
         total = None
         for batch in held:
             for x in batch.column("cells").to_pylist():
-                cells = np.frombuffer(x, np.uint8).astype(np.uint16)
+                cells = np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint16)
                 total = cells if total is None else np.minimum(total + cells, most)
         bits = np.packbits(total >= most).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.binary())], ["row", "piece", "bits"])
