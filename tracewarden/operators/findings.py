@@ -1,7 +1,7 @@
 """Inspection layers: spans, replies and tool calls in, findings out; and what findings decide.
 
-A finding is (session, ord, idx, layer, rule, severity, invariant, evidence_digest). Rules over readings
-take the ``readings`` column that ``with_readings`` makes once for each text.
+A finding is (session, ord, idx, layer, rule, severity, invariant, evidence_digest). The inbound layers look at each text
+once, in Arrow batches (``functions.closure.look``); everything after that is native.
 """
 
 from __future__ import annotations
