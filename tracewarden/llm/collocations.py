@@ -1,15 +1,16 @@
 """Phrases whose words stand together more often than their parts would have it.
 
-Two passes over all texts. The first adds every phrase of one to four words to count-min sketches, one for a share of the
-partitions; merged, they overestimate and never underestimate, so that a phrase whose estimate is under the threshold
-is not frequent. What is left of the merged sketch is a bit for each cell. The second pass counts the survivors
-exactly, as texts. Scores and subsumption are joins of the frequent phrases alone.
+Count-min sketches, one for a share of the partitions, overestimate and never underestimate when they are merged, so that a phrase
+whose estimate is under the threshold is not frequent. They are made twice over: of phrases of one and two words, then of
+those of three and four words whose parts are left, which spares the second ones nearly all phrases that stand once. What
+is kept of a merged sketch is a bit for each cell. A last pass counts the survivors exactly, as texts. Scores and subsumption
+are joins of the frequent phrases alone.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from .components import shared_folder
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: What a score is scaled by, and the share (in hundredths) of a phrase's places from which a longer one stands for it.
 SCALE, SHARE = 2_000_000, 80
-#: Rows of the sketch, and bounds on the bits of a row's width. Between them a row has a cell for 32 to 64 bytes of text.
-DEPTH, NARROWEST, WIDEST = 3, 16, 27
+#: Sizes of the phrases that are sketched together. Later ones are sketched only where all their parts survive.
+ROUNDS = ((1, 2), (3, 4))
+#: Rows of a sketch, the least and most cells of a row, and bytes of text for a cell between them.
+DEPTH, NARROWEST, WIDEST, CELL = 3, 1 << 16, 1 << 27, 64
 #: Cells of a piece of the sketch, the unit that is merged.
 PIECE = 1 << 16
 #: Bytes of text that are turned into arrays at once.
@@ -60,12 +63,22 @@ class Block:
         self.own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)[self.ids]
         self.seed = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs], np.uint64)[self.lang]
 
-    def hashed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(n, places, hashes) of all phrases of n words, for n from 1. A phrase's place is that of its first word."""
-        places, h = np.arange(len(self.ids)), _mixed(self.seed ^ self.own)
+    def hashed(self, passed: Sequence[Survivors] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, places, hashes) of the phrases of n words, for n from 1. A phrase's place is that of its first word.
+
+        ``passed`` are the merged sketches of the first rounds: what one doesn't hold is left out, as is every longer phrase around it.
+        """
+        total = len(self.ids)
+        places, h = np.arange(total), _mixed(self.seed ^ self.own)
         for n in range(1, LONGEST + 1):
+            for sizes, sketch in zip(ROUNDS, passed, strict=False):
+                if n in sizes:
+                    inside = sketch.holds(h)
+                    places, h = places[inside], h[inside]
             yield n, places, h
-            inside = places + n < len(self.ids)
+            there = np.zeros(total + 1, bool)
+            there[places] = True
+            inside = (places + n < total) & there[places + 1]
             places, h = places[inside], h[inside]
             inside = self.piece[places] == self.piece[places + n]
             places, h = places[inside], h[inside]
@@ -73,8 +86,26 @@ class Block:
 
 
 def _cells(h: np.ndarray, width: int, row: int) -> np.ndarray:
-    """The cell of each hash in a row of the sketch; ``width`` is a power of two."""
-    return (((h >> np.uint64(32)) * np.uint64(2 * row + 1) + h) & np.uint64(width - 1)).astype(np.int64)
+    """The cell of each hash in a row of the sketch; ``width`` is at most 2^32."""
+    low = ((h >> np.uint64(32)) * np.uint64(2 * row + 1) + h) & np.uint64(0xFFFFFFFF)
+    return ((low * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
+
+
+class Survivors:
+    """Which cells of a merged sketch count enough: a bit for each, packed, by row and piece; a piece that lacks has none."""
+
+    def __init__(self, bits: dict[tuple[int, int], bytes], width: int):
+        self.width = width
+        empty = [bytes((min(PIECE, width - k) + 7) // 8) for k in range(0, width, PIECE)]
+        self.rows = [np.frombuffer(b"".join(bits.get((row, k), x) for k, x in enumerate(empty)), np.uint8) for row in range(DEPTH)]
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash may be that of a frequent phrase."""
+        there = np.ones(len(h), bool)
+        for row, bits in enumerate(self.rows):
+            cells = _cells(h, self.width, row)
+            there &= (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+        return there
 
 
 def _add(sketch: np.ndarray, cells: np.ndarray, counts: np.ndarray, most: int) -> None:
@@ -96,26 +127,29 @@ def _blocks(batches) -> Iterator[Block]:
 
 
 def width_for(n_bytes: int) -> int:
-    """Cells of a row of the sketch for texts of so many bytes. It decides how many phrases survive, never what is found."""
-    return 1 << min(WIDEST, max(NARROWEST, (max(n_bytes, 1) // 64).bit_length()))
+    """Cells of a row of a sketch for texts of so many bytes. It decides how many phrases survive, never what is found."""
+    return min(WIDEST, max(NARROWEST, n_bytes // CELL))
 
 
-def survivors(texts: DataFrame, least: int, width: int, sketches: int) -> dict[tuple[int, int], bytes]:
-    """A bit for each cell of the merged sketch of texts (lang, text): whether it counts ``least`` or more; by row and piece.
+def survivors(texts: DataFrame, least: int, width: int, sketches: int, passed: list) -> dict[tuple[int, int], bytes]:
+    """A bit for each cell of the merged sketch of one round over texts (lang, text): whether it counts ``least`` or more; by row and piece.
 
-    A sketch is that of a share of the partitions, ``sketches`` of them at most. It goes out in pieces, of which each is merged by
+    ``passed`` are the broadcast bits of the rounds before. A sketch is that of a share of the partitions, ``sketches`` of them at most. It goes out in pieces, of which each is merged by
     itself. Its size is ``width`` and so bounded. Cells stop at ``least`` (or at 255, where it is greater), as more says no more.
     """
-    most = min(least, 255)
+    most, sizes = min(least, 255), ROUNDS[len(passed)]
 
     def add(batches):
-        sketch = np.zeros((DEPTH, width), np.uint8)
+        sketch, before = np.zeros((DEPTH, width), np.uint8), [Survivors(x.value, width) for x in passed]
         for block in _blocks(batches):
-            for _, _, h in block.hashed():
-                distinct, counts = np.unique(h, return_counts=True)
-                counts = np.minimum(counts, most).astype(np.uint64)
-                for row in range(DEPTH):
-                    _add(sketch[row], _cells(distinct, width, row), counts, most)
+            for n, _, h in block.hashed(before):
+                if n in sizes:
+                    distinct, counts = np.unique(h, return_counts=True)
+                    counts = np.minimum(counts, most).astype(np.uint64)
+                    for row in range(DEPTH):
+                        _add(sketch[row], _cells(distinct, width, row), counts, most)
+                if n == sizes[-1]:
+                    break
         for row in range(DEPTH):
             for k in range(0, width, PIECE):
                 cells = sketch[row, k : k + PIECE]
@@ -138,17 +172,15 @@ def survivors(texts: DataFrame, least: int, width: int, sketches: int) -> dict[t
     return {(r["row"], r["piece"]): bytes(r["bits"]) for r in merged.toLocalIterator()}
 
 
-def counted(texts: DataFrame, bits: dict[tuple[int, int], bytes], width: int) -> DataFrame:
+def counted(texts: DataFrame, passed: list, width: int) -> DataFrame:
     """lang, phrase, size and f of every surviving phrase of texts (lang, text), and at size 0 the words of each language.
 
-    A phrase is numbered by the number of its beginning and its last word, so that equal numbers are equal words. One survives where both
-    parts of a word less do, too: they are no rarer.
+    ``passed`` are the broadcast bits of all rounds. A phrase is numbered by the number of its beginning and its last word, so that
+    equal numbers are equal words. One survives where both parts of a word less do, too: they are no rarer.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        size = max(1, min(PIECE, width) // 8)
-        table_ = [np.frombuffer(b"".join(shared.value.get((row, k), bytes(size)) for k in range(max(1, width // PIECE))), np.uint8) for row in range(DEPTH)]
+        before = [Survivors(x.value, width) for x in passed]
         for block in _blocks(batches):
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for k, n in enumerate(np.bincount(block.lang, minlength=len(block.langs)).tolist()):
@@ -156,16 +188,9 @@ def counted(texts: DataFrame, bits: dict[tuple[int, int], bytes], width: int) ->
                     column.append(x)
             total, base = len(block.ids), len(block.words) + 1
             names = np.full(total, -1, np.int64)
-            for n, places, h in block.hashed():
-                there = np.ones(len(h), bool)
-                for row in range(DEPTH):
-                    cells = _cells(h, width, row)
-                    there &= (table_[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-                if n > 1:
-                    there &= (names[places] >= 0) & (names[places + 1] >= 0)
-                places = places[there]
-                before = block.lang[places] if n == 1 else names[places]
-                _, first, inverse, f = np.unique(before * base + block.ids[places + n - 1], return_index=True, return_inverse=True, return_counts=True)
+            for n, places, _ in block.hashed(before):
+                begin = block.lang[places] if n == 1 else names[places]
+                _, first, inverse, f = np.unique(begin * base + block.ids[places + n - 1], return_index=True, return_inverse=True, return_counts=True)
                 names = np.full(total, -1, np.int64)
                 names[places] = inverse
                 for at in places[first].tolist():
@@ -190,7 +215,7 @@ def phrase_collocations(docs: DataFrame, text: str = "text", lang: str = "lang",
 
     A null language is ``und``; null and empty texts have no words; repeated rows count again; ties go to more places, then to the smaller
     phrase (in bytes). No texts, no rows. A phrase inside a longer one that has four fifths of its places is left out.
-    ``width`` (a power of two) changes how many phrases are counted in vain, and no result.
+    ``width`` (cells of a row of a sketch) changes how many phrases are counted in vain, and no result.
     """
     shared_folder(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
@@ -198,7 +223,10 @@ def phrase_collocations(docs: DataFrame, text: str = "text", lang: str = "lang",
     width = width or width_for(n_bytes)
     # A sketch for each core. Shares are smaller where there are more of them, and so emptier are their sketches, which are sent compressed.
     sketches = docs.sparkSession.sparkContext.defaultParallelism
-    counts = counted(texts, survivors(texts, least, width, sketches), width).where((F.col("f") >= least) | (F.col("size") == 0)).checkpoint()
+    passed: list = []
+    for _ in ROUNDS:
+        passed.append(docs.sparkSession.sparkContext.broadcast(survivors(texts, least, width, sketches, list(passed))))
+    counts = counted(texts, passed, width).where((F.col("f") >= least) | (F.col("size") == 0)).checkpoint()
     total = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     known = counts.where("size > 0").select("lang", "phrase", F.col("f").alias("of"))
     found = counts.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"))
