@@ -360,6 +360,20 @@ def test_live_membership_agrees_with_the_tree(spark, tmp_path):
         spark.createDataFrame(rows[k * 3 : k * 3 + 3], live.LIVE).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     got = live.run_to_end(live.live_membership(live.watch(spark, str(tmp_path / "in"))), "members", str(tmp_path / "c"))
     assert {r["ord"]: r["duration"] for r in got.collect()} == {2: 0, 3: 0, 5: 50}
+    # Another run with the same checkpoint: what was tracked still is, what left is not, and more pids than any fixed map holds fit in.
+    more = [("x", "a", 7, "event", None, None, "exec", 12, 10, 200), ("x", "a", 8, "event", None, None, "open", 11, 10, 210), ("x", "a", 9, "event", None, None, "exec", 13, 12, 220), ("x", "a", 10, "event", None, None, "exec", None, 10, 230)]
+    spark.createDataFrame(more, live.LIVE).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    live.land(live.live_membership(live.watch(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    assert {r["ord"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {2, 3, 5, 7, 9}
+    crowd = spark.range(17_000).selectExpr("'x' AS stream", "'a' AS session", "id + 100 AS ord", "'event' AS t", "'exec' AS kind", "id + 1000 AS pid", "10L AS ppid", "id AS ts")
+    crowd.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    leave = crowd.selectExpr("stream", "session", "ord + 100000 AS ord", "t", "'exit' AS kind", "pid", "ppid", "ts + 5 AS ts").where("pid % 1000 = 999")
+    live.land(live.live_membership(live.watch(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    leave.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    live.land(live.live_membership(live.watch(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    landed = spark.read.parquet(str(tmp_path / "out"))
+    assert landed.where("ord >= 100 AND ord < 100000").count() == 17_000
+    assert sorted(r["duration"] for r in landed.where("ord >= 100000").collect()) == [5] * 17
     lines = live.frames(spark.createDataFrame([("a\r\n\nb",), ("c",)], "value string"))
     assert sorted(r["line"] for r in lines.collect()) == ["a", "b", "c"]
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Columns of a live row; ``ord`` is the arrival order within a key.
@@ -65,38 +66,62 @@ def live_taint(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session").applyInPandasWithState(step, f"{LIVE}, tainted boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_membership(rows: DataFrame) -> DataFrame:
-    """Process events of a session whose pid is tracked, with the time since its exec on exits.
+class _Members(StatefulProcessor):
+    """Tracked processes of a session: their exec times by pid, so that a batch touches the pids that its rows name."""
 
-    The root opens the set, an exec by a child of a member joins it, an exit leaves it. State is the set with exec
-    times, bounded like the kernel's map; rows that find it full are counted in ``untracked``.
-    """
-    most = 16_384
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-    def step(key, frames_, state: GroupState):
-        pids, times, untracked = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
-        members = dict(zip(pids, times, strict=True))
-        pdf = _in_order(frames_)
-        kept, spans = [], []
-        for i, r in pdf.iterrows():
-            if r["t"] == "session_open":
-                members[int(r["pid"])] = int(r["ts"] or 0)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.since = handle.getMapState("since", "pid long", "ts long", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(rows)
+        held: dict[int, int | None] = {}
+        changed, kept, spans = set(), [], []
+
+        def since(pid: int) -> int | None:
+            if pid not in held:
+                held[pid] = self.since.getValue((pid,))[0] if self.since.containsKey((pid,)) else None
+            return held[pid]
+
+        for i, (t, kind, pid, ppid, ts) in enumerate(zip(*(pdf[c] for c in ("t", "kind", "pid", "ppid", "ts")), strict=True)):
+            if pd.isna(pid):
                 continue
-            pid = int(r["pid"])
-            if r["kind"] == "exec" and (pid in members or int(r["ppid"]) in members):
-                if pid in members or len(members) < most:
-                    members[pid] = int(r["ts"])
-                else:
-                    untracked += 1
-            if pid in members:
+            pid, ts = int(pid), 0 if pd.isna(ts) else int(ts)
+            began = since(pid)
+            joins = kind == "exec" and (began is not None or (pd.notna(ppid) and since(int(ppid)) is not None))
+            if t == "session_open" or joins:
+                held[pid] = ts
+                changed.add(pid)
+            if t != "session_open" and (joins or began is not None):
                 kept.append(i)
-                spans.append(max(0, int(r["ts"]) - members[pid]) if r["kind"] == "exit" else 0)
-                if r["kind"] == "exit":
-                    del members[pid]
-        state.update((list(members), list(members.values()), untracked))
-        yield pdf.loc[kept].assign(duration=spans, untracked=untracked)
-
-    return rows.groupBy("session").applyInPandasWithState(step, f"{LIVE}, duration long, untracked long", "pids array<long>, times array<long>, untracked long", "append", GroupStateTimeout.NoTimeout)
+                spans.append(max(0, ts - began) if kind == "exit" else 0)
+                if kind == "exit":
+                    held[pid] = None
+                    changed.add(pid)
+        for pid in changed:
+            if held[pid] is not None:
+                self.since.updateValue((pid,), (held[pid],))
+            elif self.since.containsKey((pid,)):
+                self.since.removeKey((pid,))
+        if kept:
+            yield pdf.iloc[kept].assign(duration=spans)
+
+    def close(self) -> None:
+        pass
+
+
+def live_membership(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Process events of a session whose pid is tracked, with the time since its exec on exits (``duration``, else 0).
+
+    The root opens the set, an exec by a child of a member joins it, an exit leaves it. State is an entry for each tracked pid, held
+    in RocksDB, which the session is set to; it has no cap. With ``ttl_ms`` a pid is forgotten when no exec of it has come for so long
+    in processing time. Rows without a pid are no one's; no time counts as 0.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return rows.groupBy("session").transformWithStateInPandas(_Members(ttl_ms), f"{LIVE}, duration long", "append", mode)
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
