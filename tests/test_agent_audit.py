@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import closure as c
 from tracewarden.operators import findings as fi
 from tracewarden.operators import ordered, process, sessions
-from tracewarden.plans import inputs, replay
+from tracewarden.plans import inputs, replay, stream
 from tracewarden.policy import INGRESS_VARIANTS, VARIANTS, Policy, listed
 from tracewarden.sources import lines as src
 from tracewarden.streaming import live
@@ -405,6 +405,23 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert {r["ord"]: r["tainted"] for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
 
 
+def test_written_lines_are_the_stream_in_the_order_of_file_names(spark, tmp_path):
+    odd = "".join(map(chr, range(1, 160))) + '"\\ /\u2028\U0001f600'
+    rows = spark.range(1, 2001).select(F.col("id").alias("seq"), F.lit("span").alias("t"), F.when(F.col("id") % 7 > 0, F.lit("s")).alias("session"), F.concat(F.lit(odd), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = stream.write_lines(rows.orderBy(F.rand(1)), str(tmp_path / "out"), ["text"]).orderBy("file").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*")))
+    got = [json.loads(x) for x in text.split("\n") if x]
+    assert got == [{"t": "span", "seq": k, **({"session": "s"} if k % 7 else {}), "text": f"{odd}{k}"} for k in range(1, 2001)]
+    assert len(manifest) > 1 and sum(r["lines"] for r in manifest) == 2000
+    assert [r["first_seq"] for r in manifest] == [1] + [r["last_seq"] + 1 for r in manifest[:-1]]
+    assert all(x in text for x in ("\\n", "\\r", "\\t", "\\b", "\\f", '\\"', "\\u0001", "\U0001f600")) and "\\/" not in text
+    assert stream.write_lines(rows.where("seq < 0"), str(tmp_path / "none"), ["text"]).count() == 0
+
+
 def test_inputs_have_every_attack(spark):
     found = fi.raw_findings(inputs.attacks(spark, "/root/testdata/sf0.001"), inputs.POLICY)
     assert {r["rule"] for r in found.select("rule").distinct().collect()} == {"chat-template-marker", "data-imperative", "url-egress", "canary-leak", "unicode-transform"}

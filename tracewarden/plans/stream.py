@@ -54,6 +54,20 @@ def as_json(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("seq", F.to_json(F.struct("t", "seq", "session", *fields)).alias("line"))
 
 
+def write_lines(rows: DataFrame, folder: str, fields: list[str]) -> DataFrame:
+    """Write numbered lines as text files that hold the stream when they are read in the order of their names.
+
+    Lines are dealt by ranges of ``seq``, so that no task holds more than its range. Returns the manifest, a row for each file:
+    file, lines, first_seq, last_seq. Control characters, quotes and backslashes are escaped, all else is written as it is. No rows
+    give no lines; a folder that exists is an error.
+    """
+    laid = as_json(rows, fields).repartitionByRange("seq").sortWithinPartitions("seq")
+    laid.select("line").write.text(folder)
+    seq = F.get_json_object("value", "$.seq").cast("long")
+    back = rows.sparkSession.read.text(folder).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), seq.alias("seq"))
+    return back.groupBy("file").agg(F.count("*").alias("lines"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 def session_fold(rows: DataFrame) -> DataFrame:
     """A row for each session from numbered lines."""
     is_ = lambda t: F.col("t") == t
