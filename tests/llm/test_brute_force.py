@@ -246,6 +246,46 @@ def test_keys_with_few_digits_are_found():
     assert len(secrets.scan(prose, net)) < 15
 
 
+def test_every_candidate_teaches_the_network(spark):
+    """More of each label and more words than a sample of 2000 would hold, and a run of 30,000 characters, over several lots."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05}")
+    texts = [f"the {word(k)} host{k:05}.example.com and password={k * 7919:016x} too" for k in range(5000)] + [f"a long {'word/' * 6000} ends"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = [x for _, x in secrets._lots_of(secrets.lots(docs).toArrow().to_batches())]
+    made = secrets.lot(secrets.generated())
+    assert len(got) > 1 and sum((~x.taught).sum() for x in got) == 5001
+    assert sum((x.secret & x.taught).sum() - made.secret.sum() for x in got) == 10000
+    assert sum(x.sizes.max() == -(-(30000 - 4) // 60) for x in got) == 1
+    words = [word(k) for k in range(5000)]
+    runs = "".join(run.lower() for (_, run, _), _ in secrets.compounds(words))
+    assert all(w in runs for w in words)
+
+
+def test_lots_learn_together(spark):
+    docs = spark.createDataFrame([(f"see page{k}.section.example.com, or token = {k * 7919:024x} there",) for k in range(300)], "text string")
+    net, again = (secrets.train(docs.repartition(n), most=400) for n in (3, 2))
+    assert secrets.lots(docs, most=400).count() > 1
+    assert net.threshold == again.threshold and (net.kernel == again.kernel).all()
+    other = secrets.generated(300, seed=99)
+    p, y = net.score([secrets.coded(x) for x, _ in other]) >= net.threshold, np.array([y for _, y in other]) == 1
+    assert p[y].mean() > 0.95 and p[~y].mean() < 0.03
+
+
+def test_gradients_of_findings_of_many_rows():
+    held = secrets.lot([(("a ", "k9/x" * 9000, " b"), 1), (("q ", "www.abcdef.example.com", " b"), 0)])
+    some, net = np.arange(2), secrets._fresh()
+    grads = secrets._gradients(net, held.rows_of(some), held.sizes[some], held.secret[some].astype(float), np.ones(2))
+
+    def loss(name, at, by):
+        other = secrets._fresh()
+        getattr(other, name)[at] += by
+        z = held.logit(other, some)
+        return np.mean(np.log1p(np.exp(z)) - held.secret * z) + 0.5e-4 * ((other.kernel**2).sum() + (other.out**2).sum())
+
+    for name, at in (("embed", (40, 2)), ("kernel", (3, 4)), ("kernel", (50, 20)), ("bias", 5), ("out", 7), ("out", 30)):
+        assert grads[name][at] == pytest.approx((loss(name, at, 1e-5) - loss(name, at, -1e-5)) / 2e-5, rel=1e-4, abs=1e-7)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("GNU gnu General public license Apache cc by mit x software, the permission is-hereby".split(" ")), max_size=40))
 def test_licence_phrases_on_any_words(parts):
